@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, chat, langid, licenses
+from framelake.llm import bpe, chat, jaccard, langid, licenses
 from framelake.llm.common import table
 
 
@@ -29,11 +29,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_chat_format": op6_chat_format,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op6_chat_format": chat.ORACLE,
