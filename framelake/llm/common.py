@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,24 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sh
     return cold.unionByName(left.join(some, key, "inner"))
 
 
+def maybe_in(keys: DataFrame, key: str, bits: int = 1 << 24) -> Callable[[Column], Column]:
+    """A test that holds for every value of keys[key] and for few others: a bit filter of fixed size, so that rows that
+    can't join are dropped before a shuffle. Its words are or-ed by an aggregation; at most bits / 32 reach the driver."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = keys.select(at(F.col(key)).alias("at")).groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v"))
+    got = words.toPandas()
+    filled = np.zeros(bits // 32, dtype=np.uint32)
+    filled[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).astype(np.uint32)
+    shared = keys.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def inside(at: pd.Series) -> pd.Series:
+        n = at.to_numpy(dtype=np.int64)
+        return pd.Series((shared.value[n // 32] >> (n % 32).astype(np.uint32)) & 1 == 1)
+
+    return lambda c: inside(at(c))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root the smallest node reachable.
 

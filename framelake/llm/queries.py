@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, chat, jaccard, langid, licenses
+from framelake.llm import bpe, chat, jaccard, langid, licenses, substrings
 from framelake.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The removed ranges, each with the document that keeps the first copy."""
+    return substrings.repeats(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_chat_format": op6_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
 }
