@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import bpe, langid
+from framelake.llm import bpe, decontaminate, jaccard, langid, substrings
 from framelake.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,12 +20,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select(*COLUMNS, p.alias("_lid")).filter("_lid.lang_pred <> 'und'").select(*COLUMNS)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    groups = jaccard.near_duplicates(docs)
+    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of all documents but the first that holds them; every document stays."""
+    return substrings.deduplicate(docs.select(*COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold half the words of a benchmark item or more."""
+    hits = decontaminate.contamination(F.col("text"), table(spark, sf_dir, "benchmark"))
+    return docs.select(*COLUMNS, hits.alias("_hits")).filter("size(_hits) = 0").select(*COLUMNS)
+
+
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, and what they decode to."""
     return docs.select(*COLUMNS, bpe.digests(F.col("text"), bpe.vocabulary).alias("_p")).select(*COLUMNS, "_p.*")
 
 
-STAGES = [("language ID", language_id), ("BPE encoding and decoding", bpe_round_trip)]
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", bpe_round_trip),
+]
 
 #: Learned models and the tokenizer can't be written in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None

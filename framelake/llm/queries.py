@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, chat, jaccard, langid, licenses, substrings
+from framelake.llm import bpe, chat, decontaminate, jaccard, langid, licenses, substrings
 from framelake.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, each with the items it holds."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_chat_format": op6_chat_format,
+    "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES: dict[str, str] = {
