@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, jaccard, langid, substrings
-from framelake.llm.common import shared_dir, table
+from framelake.llm.common import shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,10 +21,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    groups = jaccard.near_duplicates(docs)
+    """Keeps the document with the smallest doc_id of each group of near duplicates, once if its row repeats."""
+    groups = written(jaccard.near_duplicates(docs))
     dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    twice = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if twice else left
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
