@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, brown, chat, decontaminate, jaccard, langid, licenses, substrings, vectors
+from framelake.llm import bpe, brown, chat, decontaminate, importance, jaccard, langid, licenses, substrings, vectors
 from framelake.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(own)))
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their log-weights."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.filter("selected").select("doc_id", "log_weight", "key")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, each with the items it holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_scores": op10_lm_scores,
