@@ -121,3 +121,14 @@ def revert(actions: np.ndarray, state: np.ndarray, encoding: str, grip: bool) ->
         back = R.reframe(R.decode(s[..., :end], encoding), R.decode(a[..., :end], encoding), inverse=False)
         out += [R.encode(back, "ypr"), *([a[..., end:]] if grip else [])]
     return np.concatenate(out, -1)
+
+
+def revert_chunks(chunks: DataFrame, encoding: str, grip: bool) -> DataFrame:
+    """action_chunks() of a wrist-frame pipeline with a column reverted: array<array<double>>."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(actions: pd.Series, state: pd.Series) -> pd.Series:
+        out = [revert(_stack(actions.iloc[k : k + 256]), _stack(state.iloc[k : k + 256]), encoding, grip) for k in range(0, len(actions), 256)]
+        return pd.Series([x.tolist() for part in out for x in part], dtype=object)
+
+    return chunks.withColumn("reverted", run("actions", "state"))
