@@ -8,7 +8,8 @@ where the likelihood of their neighbours' classes is greatest, given all counts
 aggregation of the bigram table by (unit, neighbour's class), of bounded size, and an argmax over it.
 
 Scoring knows the counts of the KNOWN most frequent words in each task; other words are counted for each text and joined
-with the table of all counts. Smoothing adds ALPHA to class bigrams and DELTA to words, with one unseen word in each class.
+with the table of all counts. Class bigrams are smoothed by PRIOR times the classes' own shares, words by DELTA each, with
+one unseen word in each class.
 
 A null text counts as empty: one token, the end. The text before the first word is an end. Rows without doc_id are scored
 and never learned from. Repeated rows are scored each. With no training text all counts are 0."""
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from framelake.llm.common import remainder, written
 
 UNITS, POOLS, CLASSES, ROUNDS = 1 << 14, 1 << 9, 64, 6
-KNOWN = 1 << 17
-ALPHA, DELTA = 0.1, 0.5
+KNOWN = 1 << 16
+ALPHA, DELTA, PRIOR = 0.1, 0.5, 100.0
 END = b" "  # no word holds a space
 
 
@@ -102,37 +103,48 @@ def _bigrams(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
     return docs.select("text").mapInArrow(count, "u int, v int, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
 
 
-def _neighbours(bigrams: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the classes after and before each unit: units x classes twice, whatever the corpus size."""
-    spark, size = bigrams.sparkSession, len(classes)
-    given = F.broadcast(spark.createDataFrame([(k, int(c)) for k, c in enumerate(classes)], "k int, c int"))
-    after = bigrams.join(given, F.col("v") == F.col("k")).groupBy("u", "c").agg(F.sum("n").alias("n"))
-    before = bigrams.join(given, F.col("u") == F.col("k")).groupBy("v", "c").agg(F.sum("n").alias("n"))
-    out = []
-    for rows in (after, before):
-        got = rows.toPandas().to_numpy(dtype=np.int64)
-        m = np.zeros((size, CLASSES))
-        m[got[:, 0], got[:, 1]] = got[:, 2]
-        out.append(m)
-    return out[0], out[1]
+def _neighbours(bigrams: DataFrame, given: DataFrame) -> DataFrame:
+    """(unit, side, c, n): how often a neighbour's class c follows (side 0) or precedes a unit, at most units x classes x 2."""
+    after = bigrams.join(F.broadcast(given), F.col("v") == F.col("k")).groupBy(F.col("u").alias("unit"), "c").agg(F.sum("n").alias("n"))
+    before = bigrams.join(F.broadcast(given), F.col("u") == F.col("k")).groupBy(F.col("v").alias("unit"), "c").agg(F.sum("n").alias("n"))
+    return written(after.withColumn("side", F.lit(0)).unionByName(before.withColumn("side", F.lit(1))))
+
+
+def _best(cells: DataFrame, table: np.ndarray) -> dict[int, int]:
+    """For each unit of cells the class that makes its neighbours' classes likeliest."""
+    follow = np.log((table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * CLASSES))
+    lead = np.log((table + ALPHA) / (table.sum(0, keepdims=True) + ALPHA * CLASSES)).T
+    both = np.stack([follow, lead])  # side, own class, neighbour's class
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for got in batch.column(1).to_pylist():
+                side, c, n = (np.array([g[k] for g in got]) for k in ("side", "c", "n"))
+                gain = both[side, :, c].T @ n
+                gain[0] = -np.inf  # the end keeps a class of its own
+                found.append(int(gain.argmax()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["unit", "c"])
+
+    rows = cells.groupBy("unit").agg(F.collect_list(F.struct("side", "c", "n")).alias("got"))
+    return dict(map(tuple, rows.mapInArrow(choose, "unit int, c int").collect()))  # a row for each unit
 
 
 def cluster(bigrams: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The class of each unit, and the class bigrams."""
+    spark = bigrams.sparkSession
     classes = np.concatenate([[0], 1 + np.arange(size - 1) % (CLASSES - 1)])
     for turn in range(ROUNDS + 1):
-        after, before = _neighbours(bigrams, classes)
+        given = spark.createDataFrame(list(enumerate(classes.tolist())), "k int, c int")
+        cells = _neighbours(bigrams, given)
+        own = F.broadcast(given.select(F.col("k").alias("unit"), F.col("c").alias("own")))
         table = np.zeros((CLASSES, CLASSES))
-        np.add.at(table, classes, after)
+        for a, b, n in cells.filter("side = 0").join(own, "unit").groupBy("own", "c").agg(F.sum("n")).collect():  # a row for each class pair
+            table[a, b] = n
         if turn == ROUNDS:
             return classes, table
-        one, two = table.sum(1), table.sum(0)
-        gain = after @ np.log((table + ALPHA) / (one[:, None] + ALPHA * CLASSES)).T
-        gain += before @ np.log((table + ALPHA) / (two[None, :] + ALPHA * CLASSES))
-        gain[:, 0] = -np.inf  # the end keeps a class of its own
-        moves = (np.arange(size) % 2 == turn % 2) & (after.sum(1) > 0)
-        moves[0] = False
-        classes = np.where(moves, gain.argmax(1), classes)
+        for unit, c in _best(cells.filter(f"unit > 0 AND unit % 2 = {turn % 2}"), table).items():
+            classes[unit] = c
     raise AssertionError
 
 
@@ -162,7 +174,8 @@ def score(docs: DataFrame) -> DataFrame:
         kinds_in[classes[UNITS + 1 + p]] += k
         words_in[classes[UNITS + 1 + p]] += n
     below = np.log10(words_in + DELTA * (kinds_in + 1))
-    move = np.log10((table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * CLASSES))
+    alone = (table.sum(0) + ALPHA) / (table.sum() + ALPHA * CLASSES)
+    move = np.log10((table + PRIOR * alone) / (table.sum(1, keepdims=True) + PRIOR))
     base = float(np.log10(total + kinds + 1))
     unit_of = np.array([k + 1 if k < own else UNITS + 1 + pool(w) for k, w in enumerate(listed)], dtype=np.int64)
     known_class = classes[unit_of] if listed else np.zeros(0, np.int64)
