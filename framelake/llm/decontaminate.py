@@ -71,7 +71,7 @@ def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
     vocabulary: dict[str, int] = {}
     numbered = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], dtype=np.uint64)) for i, words in items]
     seeds = np.concatenate([rolling(x) for _, x in numbered] or [np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(numbered)), [max(0, len(x) - MIN_TILE + 1) for _, x in numbered])
+    owner = np.repeat(np.arange(len(numbered)), np.array([max(0, len(x) - MIN_TILE + 1) for _, x in numbered], dtype=int))
     order = np.argsort(seeds, kind="stable")
     seeds, owner = seeds[order], owner[order]
     known = np.unique(seeds)
