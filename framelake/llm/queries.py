@@ -70,5 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLES: dict[str, str] = {
+    "op3_embedding_near_dedup": vectors.ORACLE,
     "op6_chat_format": chat.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
 }
