@@ -161,7 +161,7 @@ def chain_lookup(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.coalesce("direct", "r_name").alias("model"))
 
 
-@query("U1 U5 S21 J20 S33", f"""WITH {REGISTRY_SQL}, p AS (SELECT doc_id, 0 AS part FROM registry WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM registry WHERE doc_id % 3 = 0) SELECT doc_id, min(part) AS part FROM p GROUP BY doc_id""")
+@query("U1 U5 S21", f"""WITH {REGISTRY_SQL}, p AS (SELECT doc_id, 0 AS part FROM registry WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM registry WHERE doc_id % 3 = 0) SELECT doc_id, min(part) AS part FROM p GROUP BY doc_id""")
 def union_first_wins(spark: SparkSession, d: str) -> DataFrame:
     df = registry(spark, d).select("doc_id")
     return R.first_wins([df.filter("doc_id % 2 = 0"), df.filter("doc_id % 3 = 0")], "doc_id")
@@ -183,3 +183,17 @@ def path_lookup_reason(spark: SparkSession, d: str) -> DataFrame:
 def path_rewrite(spark: SparkSession, d: str) -> DataFrame:
     df = registry(spark, d).filter(R.present("zarr_processed_path").isNotNull() & ~F.col("zarr_processed_path").contains("/episode-"))
     return df.select("episode_hash", F.col("zarr_processed_path").alias("old_path"), F.concat(X.parent(F.col("zarr_processed_path")), F.lit("/episode-"), "episode_hash").alias("new_path"))
+
+
+@query("J20", "SELECT a, min(b) AS b FROM (SELECT DISTINCT source AS a FROM documents) l JOIN (SELECT DISTINCT source || lang AS b FROM documents) r ON starts_with(b, a) OR starts_with(a, b) GROUP BY a")
+def companion_by_prefix(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    return J.first_prefix_match(docs.select(F.col("source").alias("a")).distinct(), docs.select(F.concat("source", "lang").alias("b")).distinct(), "a", "b", 4)
+
+
+@query("S33 S31", """WITH c AS (SELECT doc_id, unnest([1, 2, 3]) AS k, unnest([doc_id * 3, doc_id * 5 + 1, doc_id - 7]) AS page_id FROM documents) SELECT doc_id, arg_min(c.page_id, k) AS page_id FROM c JOIN pages p ON p.page_id = c.page_id GROUP BY doc_id""")
+def companion_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The first of several candidate keys that is there."""
+    candidates = load(spark, d, "documents").selectExpr("doc_id", "posexplode(array(doc_id * 3, doc_id * 5 + 1, doc_id - 7)) AS (k, page_id)")
+    hits = candidates.join(load(spark, d, "pages").select("page_id"), "page_id", "left_semi")
+    return hits.groupBy("doc_id").agg(F.min_by("page_id", "k").alias("page_id"))
