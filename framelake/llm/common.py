@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,28 +72,49 @@ def maybe_in(keys: DataFrame, key: str, bits: int = 1 << 24) -> Callable[[Column
     return lambda c: inside(at(c))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task, in parts of bounded size, as stars around each part's smallest nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    def give() -> pa.RecordBatch:
+        stars = [(x, find(x)) for x in list(root)]
+        stars = [e for e in stars if e[0] != e[1]]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > 500_000:
+            yield give()
+    yield give()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round is a pre-aggregated minimum for each node and a join,
-    so no neighbourhood is ever gathered, and its result is written before the next one."""
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
+    Each task first contracts its own edges to stars. Then come alternating large-star and small-star rounds; each is a
+    pre-aggregated minimum for each node and a join, so no neighbourhood is ever gathered, and its result is written
+    before the next one. They end when no node has two parents or is a parent and a child."""
+    e = written(edges.select("a", "b").mapInArrow(_stars, "a long, b long").distinct())
     while True:
+        nodes = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if not nodes.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").limit(1).count():
+            break
         both = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
-            .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a <> b")
-            .distinct()
-        )
-        e = written(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
+        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        e = written(small.select("e.a", "e.b").filter("a <> b").distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

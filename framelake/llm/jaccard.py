@@ -5,11 +5,13 @@ count once. Shingles are ordered by how common they are (a fixed-size sketch, ra
 sizes m <= n can only reach the threshold when 100 m >= 80 n and when they share a shingle among the first
 n - ceil(0.8 n) + 1 of each; only those columns of the incidence matrix are multiplied, a block of columns in each task.
 
-A column that many classes share would give a square of pairs. So each round first pairs every class of a column with one
-leader only; what links is contracted, and columns whose classes are all in one component are done. When the pairs that
-are left are few against the columns' entries, all of them between different components are taken. Each candidate pair is
-checked against the two whole sets. Only components are returned, so pairs inside one need not be tried: no link between
-different components is ever skipped.
+The product counts the columns that two sets share; with what can stand after their prefixes this bounds their overlap,
+and pairs below what their sizes ask for are discarded. The others are multiplied over their whole sets, block by block.
+
+Columns that many classes share would give a square of pairs. So turns come first that pair every class of such a column
+only with the leaders of its band of sizes and the next ones; what links is contracted, and columns whose classes are all in one component are done. When the
+product of the columns left is small against their entries, or after TURNS turns, all pairs between different components
+are taken. Only components are returned, so pairs inside one need not be tried: no link between two components is skipped.
 
 Texts without words have no shingles and link with nothing. Null and empty texts are such texts. Repeated rows, also with
 the same doc_id, are copies; rows without doc_id take part, and a component of such rows only has a null id."""
@@ -30,6 +32,9 @@ WORDS, PERCENT = 5, 80
 SKETCH = 1 << 22
 FILTER = 1 << 23  # bits of the filter on ids before texts are read again
 MEMO = 300_000
+HOT, TURNS = 128, 1  # classes of a column from which leaders are tried first, and how often
+DENSE = 16  # pairs of the product for each of its entries
+BLOCK = 512  # classes in a part of a column
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -79,10 +84,11 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (kind 0: id, size, digest), and the sketch's larger counts of this task (kind 1)."""
     names, sketch = ["kind", "a", "n", "d"], np.zeros(SKETCH, dtype=np.int32)
     for batch in batches:
-        rows = []
+        rows, found = [], [np.zeros(0, np.uint64)]
         for d, s in _sets(batch):
-            np.add.at(sketch, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+            found.append(s & np.uint64(SKETCH - 1))
             rows.append((d, len(s), digest(s) if len(s) else None))
+        sketch += np.bincount(np.concatenate(found).astype(np.int64), minlength=SKETCH).astype(np.int32)
         a, n, x = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64())], names)
     at = np.flatnonzero(sketch >= 6 + 3 * sketch.mean())
@@ -128,7 +134,7 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
 def _check(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets reach the threshold."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct().join(classes, "d").select("d", "doc_id")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).join(classes, "d").select("doc_id")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
     filled = ids.select(bit.alias("at")).groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v"))
     got = filled.toPandas()  # at most FILTER / 32 rows
@@ -145,53 +151,77 @@ def _check(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["d", "s"])
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, {}
         for batch in batches:
             a, b = [], []
-            for x, y, s, t in zip(*(batch.column(k) for k in range(4)), strict=True):
-                s, t = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= PERCENT * (len(s) + len(t) - both):
-                    a.append(x.as_py())
-                    b.append(y.as_py())
+            for key, x, y, t in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), *(batch.column(k).to_pylist() for k in (3, 4)), batch.column(5), strict=True):
+                if key != block:
+                    block, held = key, {}
+                if y is None:  # the sets of a block come before its pairs
+                    held[x] = np.frombuffer(t.as_py(), np.uint64)
+                    continue
+                one, two = held[x], held[y]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= PERCENT * (len(one) + len(two) - both):
+                    a.append(x)
+                    b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     at = docs.select("doc_id", "text", bit.alias("at"))
     sets = at.mapInArrow(chosen, "d long, s binary")
-    rows = pairs.join(sets.select(F.col("d").alias("b"), F.col("s").alias("t")), "b").join(sets.select(F.col("d").alias("a"), "s"), "a")
-    return rows.select("a", "b", "s", "t").mapInArrow(enough, "a long, b long").distinct()
+    # a block is a column, or a part of it by a part of it where many classes share it: each set goes once to each block
+    place = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("k") / BLOCK)).cast("int")
+    keyed = pairs.select("shingle", place("a").alias("i"), place("b").alias("j"), "a", "b")
+    wanted_sets = keyed.select("shingle", "i", "j", F.explode(F.array("a", "b")).alias("d")).distinct().join(sets, "d")
+    rows = wanted_sets.select("shingle", "i", "j", F.col("d").alias("a"), F.lit(None).cast("long").alias("b"), "s").unionByName(keyed.withColumn("s", F.lit(None).cast("binary")))
+    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", F.col("b").isNotNull())
+    return rows.select("shingle", "i", "j", "a", "b", "s").mapInArrow(enough, "a long, b long")
 
 
 def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame:
     """Verified links (a, b) between classes that connect every component."""
     fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    columns = written(_columns(docs, survey))
+    entries = _columns(docs, survey)
     links = tried = None
     w = Window.partitionBy("shingle")
-    for turn in range(8):
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
+    for turn in range(TURNS + 1):  # leaders are tried in all turns but the last
         if links is None:
-            entries = columns.withColumn("c", F.col("d"))
+            entries = entries.withColumn("c", F.col("d")).withColumn("band", band)
         else:
-            entries = columns.join(components(links).withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("root", "d")).drop("root")
-        entries = entries.withColumn("_lo", F.min("c").over(w)).withColumn("_hi", F.max("c").over(w)).filter("_lo <> _hi").drop("_lo", "_hi")
-        entries = written(entries)
-        sizes = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
-        total, square = sizes.agg(F.sum("k"), F.sum(F.col("k").cast("double") * F.col("k") / 2)).first()
+            entries = entries.drop("c", "k").join(components(links).withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("root", "d")).drop("root")
+            entries = entries.withColumn("_lo", F.min("c").over(w)).withColumn("_hi", F.max("c").over(w)).filter("_lo <> _hi").drop("_lo", "_hi")
+        entries = written(entries.withColumn("k", F.count(F.lit(1)).over(w)))
+        total, square, most = entries.agg(F.count(F.lit(1)), F.sum("k") / 2, F.max("k")).first()
         if not total:
             break
-        last = turn and (square <= 8 * total or turn == 7)
-        other = entries.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"), F.col("pos").alias("q"))
+        last = most <= HOT or square <= DENSE * total or turn == TURNS
+        other = entries.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"), F.col("pos").alias("q"), "k", F.col("band").alias("own"))
         if last:
-            # both sets reach at most the shingles before this one in both, this one, and those after it in both
-            bound = F.expr(f"180 * (least(pos, q) + least(n - pos, m - q)) >= {PERCENT} * (n + m)")
-            pairs = entries.join(other, "shingle").filter("d < b AND c <> cb").filter(fits).filter(bound)
+            # the product; in a column that many share a pair counts only if it can be their first: all that two sets share
+            # stands at the first column that they share and after it
+            first = F.expr(f"k <= {HOT} OR {100 + PERCENT} * least(n - pos, m - q) >= {PERCENT} * (n + m)")
+            pairs = entries.drop("band").join(other.drop("k", "own"), "shingle").filter("d < b AND c <> cb").filter(fits).filter(first)
         else:
-            lead = entries.groupBy("shingle").agg(F.min_by(F.struct("d", "n", "c"), F.xxhash64("d", F.lit(turn))).alias("l"))
-            pairs = other.join(lead, "shingle").select("b", "m", "cb", "l.*").filter("d <> b AND c <> cb").filter(fits)
-        pairs = pairs.select(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")).distinct()
+            # a leader for each column and band of sizes; sets of one band may link, and so may those of the next
+            lead = entries.filter(F.col("k") > HOT).groupBy("shingle", "band").agg(F.min_by(F.struct("d", "n", "c"), F.xxhash64("d", F.lit(turn))).alias("l"))
+            near = other.filter(F.col("k") > HOT).withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
+            pairs = near.join(lead, ["shingle", "band"]).select("shingle", "k", "b", "m", "cb", "l.*").filter("d <> b AND c <> cb").filter(fits)
+        counted = pairs.groupBy(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")).agg(
+            F.min("shingle").alias("shingle"), F.max("k").alias("k"), F.count_if(F.col("k") <= HOT).alias("both"), F.first("n").alias("n"), F.first("m").alias("m")
+        )
+        if last:
+            # shared columns: those counted and at most the common ones of either set. After the prefixes come at most so many
+            many = entries.filter(F.col("k") > HOT).groupBy("d").agg(F.count(F.lit(1)).alias("h"))
+            for side in ("a", "b"):
+                counted = counted.join(many.select(F.col("d").alias(side), F.col("h").alias(f"h_{side}")), side, "left")
+            after = f"({PERCENT} * greatest(n, m) + 99) div 100 - 1"
+            counted = counted.filter(f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}")
+        pairs = counted.select("a", "b", "shingle", "k")
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = written(_check(docs, classes, pairs))
         links = found if links is None else links.unionAll(found)
-        tried = pairs if tried is None else tried.unionAll(pairs)
+        tried = pairs.select("a", "b")
         if last:
             break
     return links
@@ -213,3 +243,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = joined.join(least, "root").filter("k > 1 OR copies > 1").select("d", "component_id")
     out = join_hot(rows, shared, "d", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+_SPACE = "[ \\t\\n\\v\\f\\r]+"
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * k >= {PERCENT} * (n + m - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = s.doc_id), s.doc_id)) AS component_id FROM s
+"""
