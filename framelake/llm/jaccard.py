@@ -208,7 +208,7 @@ def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> D
             near = other.filter(F.col("k") > HOT).withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
             pairs = near.join(lead, ["shingle", "band"]).select("shingle", "k", "b", "m", "cb", "l.*").filter("d <> b AND c <> cb").filter(fits)
         counted = pairs.groupBy(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")).agg(
-            F.min("shingle").alias("shingle"), F.max("k").alias("k"), F.count_if(F.col("k") <= HOT).alias("both"), F.first("n").alias("n"), F.first("m").alias("m")
+            F.max_by("shingle", "k").alias("shingle"), F.max("k").alias("k"), F.count_if(F.col("k") <= HOT).alias("both"), F.first("n").alias("n"), F.first("m").alias("m")
         )
         if last:
             # shared columns: those counted and at most the common ones of either set. After the prefixes come at most so many
