@@ -2,9 +2,10 @@
 
 Equal vectors form one class. Each class starts with a list of its nearest classes inside small windows of several orders;
 an order sorts by the signs of random projections, so near vectors often stand near. Rounds of NN-descent follow: every
-class meets the neighbours of its neighbours, in both directions, and keeps the nearest K. Edges of at least THRESHOLD,
-checked in double precision, join classes to components. A list whose K entries all pass is saturated: it is enlarged to
-the whole component, where cosines are counted in blocks of rows, so no list of pairs is ever made. An audit compares a
+class meets the neighbours of its neighbours, in both directions, and keeps the nearest K. All pairs that meet with a cosine
+of at least THRESHOLD, in double precision, join classes to components before lists are cut; what leaves a task is a
+spanning forest of them. A list whose K entries all are of the own component is saturated: it is enlarged by the K nearest
+of other components. Inside a component cosines are counted in blocks of rows, so no list of pairs is ever made. An audit compares a
 bounded sample of classes with all others; links it finds missing are added, and below RECALL the search goes on with new
 orders, at most SEARCHES times.
 
@@ -27,7 +28,8 @@ from framelake.llm.common import components, join_hot, written
 THRESHOLD, RECALL = 0.9, 0.999
 K, ORDERS, DESCENTS, SEARCHES = 6, 8, 3, 4
 WINDOW, BLOCK, SAMPLE = 256, 512, 1000
-_EDGE = "u long, v long, sim float"
+OWN, OTHER, LINK = 0, 1, 2  # kinds of edges: inside a component, out of it, and what joins two
+_EDGE = "u long, v long, sim float, kind int"
 log = logging.getLogger(__name__)
 
 
@@ -48,10 +50,10 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), pa.array(digest, pa.int64())], ["vec_id", "unit", "digest"])
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length, a row each."""
     rows = [np.frombuffer(x, dtype=np.float64) for x in column.to_pylist()]
-    return np.stack(rows).astype(kind) if rows else np.zeros((0, 1), kind)
+    return np.stack(rows) if rows else np.zeros((0, 1))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.Table]:
@@ -77,20 +79,56 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> It
         yield held
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The K nearest others of each row."""
-    s = x @ x.T
-    s[ids[:, None] == ids[None, :]] = -2
-    k = min(K, len(ids))
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    u, v, sim = np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
-    ok = sim > -1.5
-    return u[ok], v[ok], sim[ok]
+def _labels(same: np.ndarray) -> np.ndarray:
+    """The smallest row reachable from each row."""
+    label = np.arange(len(same))
+    while True:
+        new = np.minimum(label, np.where(same, label[None, :], len(same)).min(1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    u, v, s = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s.astype(np.float32))], ["u", "v", "sim"])
+def _nearest(ids: np.ndarray, x: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
+    """u, v, sim, kind of rows that meet: the K nearest of each row, and for a row whose K nearest all are of its own
+    component the K nearest of others too. Every pair that passes counts: links join the rows that it connects."""
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    label = _labels((s >= THRESHOLD) | (root[:, None] == root[None, :]))
+    other = label[:, None] != label[None, :]
+    k = min(K, len(ids))
+    new = np.flatnonzero(root != root[label])
+    parts = [(ids[new], ids[label[new]], np.ones(len(new)), np.full(len(new), LINK))]
+    full = np.arange(len(ids))
+    for t in (s, np.where(other, s, -2.0)):
+        top = np.argpartition(-t[full], k - 1, axis=1)[:, :k]
+        row = np.repeat(full, k)
+        top, sim = top.ravel(), np.take_along_axis(t[full], top, 1).ravel()
+        ok = sim > -1.5
+        row, top, sim = row[ok], top[ok], sim[ok]
+        parts.append((ids[row], ids[top], sim, np.where(other[row, top], OTHER, OWN)))
+        full = np.setdiff1d(full, row[other[row, top]])
+        if not len(full):
+            break
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """The K nearest of each row and kind, and all links."""
+    none = np.zeros(0, np.int64)
+    u, v, s, kind = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, np.zeros(0), none)
+    s = s.astype(np.float32)
+    at = np.lexsort((v, -s, kind, u))
+    u, v, s, kind = u[at], v[at], s[at], kind[at]
+    if len(u):
+        first = np.append(True, (u[1:] != u[:-1]) | (kind[1:] != kind[:-1]) | (v[1:] != v[:-1]))
+        u, v, s, kind = u[first], v[first], s[first], kind[first]
+        start = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (kind[1:] != kind[:-1])))
+        rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
+        ok = (rank < K) | (kind == LINK)
+        u, v, s, kind = u[ok], v[ok], s[ok], kind[ok]
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(s), pa.array(kind.astype(np.int32))], ["u", "v", "sim", "kind"])
 
 
 def _first_lists(vectors: DataFrame, n: int, seed: int) -> DataFrame:
@@ -109,31 +147,37 @@ def _first_lists(vectors: DataFrame, n: int, seed: int) -> DataFrame:
                     p = x @ g
                     code = ((p[:, :bits] > 0) << np.arange(bits)).sum(1)
                     size = len(p)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, o)), pa.array(np.full(size, dim)), pa.array(code.astype(np.int64)), pa.array(p[:, bits]), part.column(0), part.column(1)], ["o", "dim", "code", "p", "d", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, o)), pa.array(np.full(size, dim)), pa.array(code.astype(np.int64)), pa.array(p[:, bits]), part.column(0), part.column(1), part.column(2)], ["o", "dim", "code", "p", "d", "unit", "root"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, out = None, []
         for part in _groups(batches, ["o", "dim"], WINDOW // 2):
-            now = (part.column("o")[0].as_py(), part.column("dim")[0].as_py(), part.column("d").to_numpy(), _matrix(part.column("unit"), np.float32))
+            now = (part.column("o")[0].as_py(), part.column("dim")[0].as_py(), part.column("d").to_numpy(), _matrix(part.column("unit")), part.column("root").to_numpy())
             both = held is not None and held[:2] == now[:2]
-            out.append(_nearest(np.concatenate([held[2], now[2]]) if both else now[2], np.concatenate([held[3], now[3]]) if both else now[3]))
+            out.append(_nearest(*(np.concatenate([x, y]) if both else y for x, y in zip(held[2:] if both else now[2:], now[2:], strict=True))))
             held = now
             if len(out) >= 64:
                 yield _edges(out)
                 out = []
         yield _edges(out)
 
-    rows = vectors.select("d", "unit").mapInArrow(order, "o long, dim long, code long, p double, d long, unit binary")
+    rows = vectors.select("d", "unit", "root").mapInArrow(order, "o long, dim long, code long, p double, d long, unit binary, root long")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "o", "dim", "code", "p").sortWithinPartitions("o", "dim", "code", "p")
     return rows.mapInArrow(windows, _EDGE)
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """The K nearest for each class: u, v, sim."""
-    one = F.struct(F.round("sim", 4).alias("sim"), "v")
-    kept = edges.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(one), False), 1, K).alias("l"))
-    return kept.select("u", F.explode("l").alias("e")).select("u", "e.v", "e.sim")
+    """u, v, sim, kind: the K nearest of each class; where all of these are of its own component the list is saturated, and
+    grows by the K nearest of other components; and the links."""
+    one = F.struct(F.round("sim", 4).alias("sim"), "v", "kind")
+    kept = edges.groupBy("u").agg(F.sort_array(F.collect_set(one), False).alias("l"))
+    kept = kept.withColumn("own", F.expr(f"transform(filter(l, x -> x.kind = {OWN}), x -> x.v)"))
+    kept = kept.withColumn("all", F.expr(f"array_distinct(transform(filter(l, x -> x.kind <> {LINK}), x -> named_struct('sim', x.sim, 'v', x.v, 'kind', IF(array_contains(own, x.v), {OWN}, {OTHER}))))"))
+    kept = kept.withColumn("near", F.slice("all", 1, K))
+    kept = kept.withColumn("far", F.expr(f"IF(forall(near, x -> x.kind = {OWN}), slice(filter(all, x -> x.kind = {OTHER}), 1, {K}), slice(all, 1, 0))"))
+    kept = kept.select("u", F.explode(F.expr(f"concat(near, far, filter(l, x -> x.kind = {LINK}))")).alias("e"))
+    return kept.select("u", "e.v", "e.sim", "e.kind")
 
 
 def _descend(lists: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -143,29 +187,22 @@ def _descend(lists: DataFrame, vectors: DataFrame) -> DataFrame:
         out = []
         for part in _groups(batches, ["center", "dim"], WINDOW):
             if part.num_rows > 1:
-                out.append(_nearest(part.column("d").to_numpy(), _matrix(part.column("unit"), np.float32)))
+                out.append(_nearest(part.column("d").to_numpy(), _matrix(part.column("unit")), part.column("root").to_numpy()))
                 if len(out) >= 256:
                     yield _edges(out)
                     out = []
         yield _edges(out)
 
-    pairs = lists.select(F.col("u").alias("center"), F.col("v").alias("d")).unionAll(lists.select(F.col("v").alias("center"), F.col("u").alias("d"))).distinct()
+    pairs = lists.select(F.col("u").alias("center"), F.col("v").alias("d")).unionAll(lists.select(F.col("v").alias("center"), F.col("u").alias("d"))).unionAll(vectors.select(F.col("d").alias("center"), "d")).distinct()
     # centres with very many members are met in parts
-    rows = pairs.join(vectors.select("d", "unit"), "d").select("center", "d", "unit", (F.length("unit")).cast("long").alias("dim"))
+    rows = pairs.join(vectors.select("d", "unit", "root"), "d").select("center", "d", "unit", "root", (F.length("unit")).cast("long").alias("dim"))
     return rows.repartition("center").sortWithinPartitions("center", "dim", F.xxhash64("d")).mapInArrow(meet, _EDGE)
 
 
-def _verified(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Edges a, b whose cosine in double precision passes."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [float(np.frombuffer(x.as_py()) @ np.frombuffer(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.array(s, dtype=float) >= THRESHOLD))
-
-    pairs = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a <> b").distinct()
-    rows = pairs.join(vectors.select(F.col("d").alias("a"), F.col("unit").alias("x")), "a").join(vectors.select(F.col("d").alias("b"), F.col("unit").alias("y")), "b")
-    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+def _placed(vectors: DataFrame, links: DataFrame) -> DataFrame:
+    """vectors with the component of each class, itself where it has no link."""
+    roots = components(links).withColumnRenamed("node", "d")
+    return written(vectors.drop("root").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d")))
 
 
 def _missing(vectors: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
@@ -226,18 +263,20 @@ def near_vectors(table: DataFrame) -> DataFrame:
     # a repeated vec_id with different vectors is more than one class: those are told apart by the digest from here on
     vectors = classes.select(F.col("digest").alias("d"), "unit", "copies")
     n = vectors.count()
+    vectors = vectors.withColumn("root", F.col("d"))
     links = roots = None
     for search in range(SEARCHES if n > 1 else 0):
-        lists = written(_lists(_first_lists(vectors, n, search)))
+        met = written(_lists(_first_lists(vectors, n, search)))
         for _ in range(DESCENTS):
-            before = lists
-            lists = written(_lists(before.unionAll(_descend(before, vectors))))
-            changed = lists.join(before, ["u", "v"], "left_anti").count()
+            near, before = met.filter(f"kind = {LINK}").select(F.col("u").alias("a"), F.col("v").alias("b")), met.filter(f"kind <> {LINK}")
+            links = near if links is None else links.unionAll(near)
+            vectors = _placed(vectors, links)
+            met = written(_lists(before.unionAll(_descend(before.select("u", "v"), vectors))))
+            changed = met.filter(f"kind <> {LINK}").join(before, ["u", "v"], "left_anti").count()
             if changed < 0.001 * K * n:
                 break
-        near = written(_verified(lists.filter(F.col("sim") > THRESHOLD - 0.001), vectors))
-        links = near if links is None else links.unionAll(near)
-        missing, total = _missing(vectors, components(links))
+        links = links.unionAll(met.filter(f"kind = {LINK}").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        missing, total = _missing(vectors.drop("root"), components(links))
         lost = missing.count()
         recall = 1 - lost / total if total else 1.0
         log.info("search %s: recall %.5f of %s links of the sample", search, recall, total)
@@ -247,7 +286,7 @@ def near_vectors(table: DataFrame) -> DataFrame:
     if links is not None:
         roots = written(components(links))
         placed = classes.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        counts = _counted(vectors, roots).withColumnRenamed("d", "digest")
+        counts = _counted(vectors.drop("root"), roots).withColumnRenamed("d", "digest")
         placed = placed.join(counts, "digest", "left")
     else:
         placed = classes.withColumn("root", F.col("digest")).withColumn("n", F.lit(None).cast("long"))

@@ -364,6 +364,36 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def links_and_components(x):
+    """n_links and component_id of unit vectors by brute force; ids are positions."""
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], len(x)).min(1))
+        if (new == root).all():
+            return list(zip(range(len(x)), near.sum(1).tolist(), root.tolist(), strict=True))
+        root = new
+
+
+def close_groups(pairs, size, hot=0, dim=64):
+    """Pairs of tight groups whose cross cosines are about 0.92, and one more group of `hot` vectors."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a = unit(rng.normal(size=(pairs, dim)))
+    side = rng.normal(size=(pairs, dim))
+    b = 0.925 * a + np.sqrt(1 - 0.925**2) * unit(side - (side * a).sum(1, keepdims=True) * a)
+    centres = np.concatenate([np.repeat(a, size, 0), np.repeat(b, size, 0), np.repeat(unit(rng.normal(size=(1, dim))), hot, 0)])
+    return unit(centres + rng.normal(size=centres.shape) * 0.003)
+
+
+def test_vectors_of_saturated_groups(spark):
+    x = close_groups(200, 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(df).select("vec_id", "n_links", "component_id").collect()
+    assert sorted(map(tuple, got)) == links_and_components(x)
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
