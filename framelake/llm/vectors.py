@@ -5,9 +5,12 @@ an order sorts by the signs of random projections, so near vectors often stand n
 class meets the neighbours of its neighbours, in both directions, and keeps the nearest K. All pairs that meet with a cosine
 of at least THRESHOLD, in double precision, join classes to components before lists are cut; what leaves a task is a
 spanning forest of them. A list whose K entries all are of the own component is saturated: it is enlarged by the K nearest
-of other components. Inside a component cosines are counted in blocks of rows, so no list of pairs is ever made. An audit compares a
-bounded sample of classes with all others; links it finds missing are added, and below RECALL the search goes on with new
-orders, at most SEARCHES times.
+of other components. Inside a component cosines are counted in blocks of rows, so no list of pairs is ever made.
+
+An audit compares a bounded sample of classes, a new one for each search, with all others. Recall is the share of sampled
+classes whose links all lie inside their component, in the worst of three strata by number of links, so that one large
+group can't hide what is lost elsewhere. Links that are found missing are added, and below RECALL the search goes on with
+new orders, at most SEARCHES times; then all pairs are compared in parts.
 
 Vectors that are null, empty or zero, or hold null or non-finite components link with nothing, nor do vectors of different
 length. Labels play no part. Repeated rows are equal vectors; a row without vec_id links with nothing."""
@@ -27,7 +30,7 @@ from framelake.llm.common import components, join_hot, written
 
 THRESHOLD, RECALL = 0.9, 0.999
 K, ORDERS, DESCENTS, SEARCHES = 6, 8, 3, 4
-WINDOW, BLOCK, SAMPLE = 256, 512, 1000
+WINDOW, BLOCK, SAMPLE, PART = 256, 512, 1000, 4096
 OWN, OTHER, LINK = 0, 1, 2  # kinds of edges: inside a component, out of it, and what joins two
 _EDGE = "u long, v long, sim float, kind int"
 log = logging.getLogger(__name__)
@@ -199,17 +202,27 @@ def _descend(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.repartition("center").sortWithinPartitions("center", "dim", F.xxhash64("d")).mapInArrow(meet, _EDGE)
 
 
+def _found(met: DataFrame) -> DataFrame:
+    return met.filter(f"kind = {LINK}").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def _placed(vectors: DataFrame, links: DataFrame) -> DataFrame:
     """vectors with the component of each class, itself where it has no link."""
     roots = components(links).withColumnRenamed("node", "d")
     return written(vectors.drop("root").join(roots, "d", "left").withColumn("root", F.coalesce("root", "d")))
 
 
-def _missing(vectors: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """Links of a bounded sample of classes that lead out of their component, and how many links the sample has."""
-    placed = vectors.join(roots.withColumnRenamed("node", "d"), "d", "left").select("d", "unit", F.coalesce("root", "d").alias("root"))
-    sample = placed.orderBy(F.xxhash64("d"), "d").limit(SAMPLE).toPandas()
-    by_dim = {dim: (rows["d"].to_numpy(), rows["root"].to_numpy(), np.stack([np.frombuffer(x) for x in rows["unit"]])) for dim, rows in sample.groupby(sample["unit"].map(len))}
+def _sample(vectors: DataFrame, seed: int) -> DataFrame:
+    """A bounded sample of classes, a new one for each seed."""
+    return vectors.select("d", "unit", "root").orderBy(F.xxhash64("d", F.lit(seed)), "d").limit(SAMPLE)
+
+
+def _against_all(vectors: DataFrame, some: DataFrame) -> DataFrame:
+    """some (d, unit, root), a bounded number of classes, against all others. Rows u, v, total, lost: links that join all
+    components that linked pairs join (v not null), and for each class of some how many links it has and how many of them
+    lead out of its component."""
+    rows = some.toPandas()
+    by_dim = {dim: (r["d"].to_numpy(), r["root"].to_numpy(), np.stack([np.frombuffer(x) for x in r["unit"]])) for dim, r in rows.groupby(rows["unit"].map(len))}
     shared = vectors.sparkSession.sparkContext.broadcast(by_dim)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +230,54 @@ def _missing(vectors: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
             dims = np.array([len(x.as_py()) for x in batch.column(1)])
             for dim, (q, root, x) in shared.value.items():
                 part = batch.filter(pa.array(dims == dim))
-                d = part.column(0).to_numpy()
-                at, k = np.nonzero(_matrix(part.column(1)) @ x.T >= THRESHOLD) if len(d) else (np.zeros(0, np.int64),) * 2
-                other = d[at] != q[k]
-                out = part.column(2).to_numpy()[at] != root[k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(q[k[out]], -1)), pa.array(np.append(d[at[out]], int(other.sum())))], ["u", "v"])
-
-    found = written(placed.mapInArrow(search, "u long, v long"))
-    total = found.filter("u = -1").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    return found.filter("u <> -1"), total
+                if not part.num_rows:
+                    continue
+                d, own = part.column(0).to_numpy(), part.column(2).to_numpy()
+                near = (_matrix(part.column(1)) @ x.T >= THRESHOLD) & (d[:, None] != q[None, :])
+                out = near & (own[:, None] != root[None, :])
+                total, lost = near.sum(0), out.sum(0)
+                up: dict[int, int] = {}  # components joined so far in this batch
+
+                def find(c: int) -> int:
+                    while (top := up.get(c, c)) != c:
+                        up[c] = up.get(top, top)
+                        c = top
+                    return c
+
+                links = []
+                for i, k in zip(*np.nonzero(out), strict=True):
+                    one, two = find(int(own[i])), find(int(root[k]))
+                    if one != two:
+                        up[one] = two
+                        links.append((int(q[k]), int(d[i])))
+                u = [e[0] for e in links] + q[total > 0].tolist()
+                v = [e[1] for e in links] + [None] * int((total > 0).sum())
+                zero = [0] * len(links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(zero + total[total > 0].tolist(), pa.int64()), pa.array(zero + lost[total > 0].tolist(), pa.int64())], ["u", "v", "total", "lost"])
+
+    return written(vectors.select("d", "unit", "root").mapInArrow(search, "u long, v long, total long, lost long"))
+
+
+def _recall(found: DataFrame) -> float:
+    """The share of classes that keep all their links, in the worst stratum of classes with 1, at most K, and more links."""
+    own = found.filter("v IS NULL").groupBy("u").agg(F.sum("total").alias("total"), F.sum("lost").alias("lost"))
+    strata = own.groupBy(F.expr(f"CASE WHEN total = 1 THEN 0 WHEN total <= {K} THEN 1 ELSE 2 END AS stratum"))
+    return min((r["whole"] for r in strata.agg(F.avg((F.col("lost") == 0).cast("double")).alias("whole")).collect()), default=1.0)  # a row for each stratum
+
+
+def _joining(found: DataFrame) -> DataFrame:
+    return found.filter("v IS NOT NULL").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def _exact(vectors: DataFrame, n: int) -> DataFrame:
+    """Links that join what is still apart, from all pairs: parts of bounded size go against the whole table in turn."""
+    parts = -(-n // PART)
+    part = F.pmod(F.xxhash64("d", F.lit(-1)), F.lit(parts))
+    links = None
+    for k in range(parts):
+        found = _joining(_against_all(vectors, vectors.filter(part == k)))
+        links = found if links is None else links.unionAll(found)
+    return links
 
 
 def _counted(vectors: DataFrame, roots: DataFrame) -> DataFrame:
@@ -267,22 +319,27 @@ def near_vectors(table: DataFrame) -> DataFrame:
     links = roots = None
     for search in range(SEARCHES if n > 1 else 0):
         met = written(_lists(_first_lists(vectors, n, search)))
+        near = _found(met)
+        links = near if links is None else links.unionAll(near)
+        vectors = _placed(vectors, links)
         for _ in range(DESCENTS):
-            near, before = met.filter(f"kind = {LINK}").select(F.col("u").alias("a"), F.col("v").alias("b")), met.filter(f"kind <> {LINK}")
-            links = near if links is None else links.unionAll(near)
-            vectors = _placed(vectors, links)
+            before = met.filter(f"kind <> {LINK}")
             met = written(_lists(before.unionAll(_descend(before.select("u", "v"), vectors))))
             changed = met.filter(f"kind <> {LINK}").join(before, ["u", "v"], "left_anti").count()
+            links = links.unionAll(_found(met))
             if changed < 0.001 * K * n:
                 break
-        links = links.unionAll(met.filter(f"kind = {LINK}").select(F.col("u").alias("a"), F.col("v").alias("b")))
-        missing, total = _missing(vectors.drop("root"), components(links))
-        lost = missing.count()
-        recall = 1 - lost / total if total else 1.0
-        log.info("search %s: recall %.5f of %s links of the sample", search, recall, total)
-        links = links.unionAll(missing.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
-        if recall >= RECALL:
+        vectors = _placed(vectors, links)
+        found = _against_all(vectors, _sample(vectors, search))
+        recall = _recall(found)
+        log.info("search %s: recall %.5f in the worst stratum of the sample", search, recall)
+        links = links.unionAll(_joining(found))
+        if recall >= RECALL or n <= SAMPLE:  # a sample of all is exact
             break
+    else:
+        if n > 1:
+            log.warning("recall %.5f after %s searches: all pairs of %s classes are compared", recall, SEARCHES, n)
+            links = links.unionAll(_exact(_placed(vectors, links), n))
     if links is not None:
         roots = written(components(links))
         placed = classes.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))

@@ -394,6 +394,18 @@ def test_vectors_of_saturated_groups(spark):
     assert sorted(map(tuple, got)) == links_and_components(x)
 
 
+def test_vectors_that_the_search_misses(spark, monkeypatch):
+    # one search that meets nobody outside a hot group of a third
+    x = close_groups(600, 1, hot=600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    first = vectors._first_lists
+    hot = F.xxhash64("unit").isin([r[0] for r in spark.createDataFrame([(bytearray((v / np.abs(v).max() / np.sqrt(((v / np.abs(v).max()) ** 2).sum())).tobytes()),) for v in x[1200:]], "unit binary").select(F.xxhash64("unit")).collect()])
+    monkeypatch.setattr(vectors, "SEARCHES", 1)
+    monkeypatch.setattr(vectors, "_first_lists", lambda v, n, seed: first(v.filter(hot), n, seed))
+    got = vectors.near_vectors(df).select("vec_id", "n_links", "component_id").collect()
+    assert sorted(map(tuple, got)) == links_and_components(x)
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)]
