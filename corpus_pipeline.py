@@ -14,19 +14,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language: null texts and texts without a letter. Where nothing could be learned, because no
+    row names its language, a text with letters stays."""
     model = langid.train(docs)
     p = langid.predict(F.col("text"), model)
-    return docs.select(*COLUMNS, p.alias("_lid")).filter("_lid.lang_pred <> 'und'").select(*COLUMNS)
+    return docs.select(*COLUMNS, p.alias("_lid")).filter((F.col("_lid.lang_pred") != "und") | F.col("text").rlike("\\p{L}")).select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates, once if its row repeats."""
-    groups = written(jaccard.near_duplicates(docs))
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
-    twice = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if twice else left
+    """Keeps one row of each group of near duplicates, the one with the smallest doc_id, nulls last; a row that repeats is
+    kept once. Rows are told apart by doc_id and text, so rows with one doc_id or none are separate documents."""
+    keyed = docs.select(*COLUMNS, substrings.row_key().alias("_row"))
+    groups = written(jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root")))
+    others = groups.filter("root <> _row").distinct()
+    members = written(others.unionAll(others.select(F.col("root").alias("_row"), "root").distinct()))
+    ranked = members.join(keyed.select("_row", "doc_id").distinct(), "_row")
+    kept = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
+    dropped = written(members.select("_row").join(kept, "_row", "left_anti"))
+    left = keyed.join(dropped, "_row", "left_anti")
+    twice = written(groups.groupBy("_row").count().filter("count > 1").select("_row"))
+    once = left.join(twice, "_row", "left_anti").unionByName(left.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,21 @@ def test_jaccard_stage_keeps_one_of_each_group(stages):
     assert set(by_id(stages[2])) == {d for d, _, c in duplicates(texts) if d == c}
 
 
+def test_jaccard_stage_decides_by_row(spark, stages):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(7, words(1)), (7, words(2)), (8, words(1)), (None, words(3)), (None, words(4)), (None, words(4) + " end"), (9, words(4) + " end"), (10, words(5))]
+    kept = [(7, words(1)), (7, words(2)), (None, words(3)), (9, words(4) + " end"), (10, words(5))]
+    for more in ([], [(10, words(5))]):  # with and without a row that repeats
+        df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows + more], stages[0].schema)
+        got = P.jaccard_join(spark, df, DATA).select("doc_id", "text").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(kept, key=repr)
+
+
+def test_language_stage_without_languages(spark, stages):
+    df = spark.createDataFrame([(1, "some plain words", None, "s", 16), (2, "12 !", None, "s", 4), (3, None, None, "s", 0)], stages[0].schema)
+    assert set(by_id(P.language_id(spark, df, DATA))) == {1}
+
+
 def test_substring_stage(stages):
     before, after = by_id(stages[2]), by_id(stages[3])
     assert set(before) == set(after)
