@@ -73,6 +73,13 @@ def annotation_bucket_etl(spark: SparkSession, d: str) -> DataFrame:
     return R.choose(load(spark, d, "conversations"), "conv_id", exclude=[there]).select("conv_id", "turn", F.reverse(F.substring("text", 1, 12)).alias("text"))
 
 
+@query("R30", """SELECT conv_id, turn, reverse(text) AS text FROM conversations WHERE conv_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0)""")
+def annotation_text_etl(spark: SparkSession, d: str) -> DataFrame:
+    """annotation_bucket_etl over whole texts."""
+    there = load(spark, d, "embeddings").filter("vec_id % 4 = 0").select(F.col("vec_id").alias("conv_id"))
+    return R.choose(load(spark, d, "conversations"), "conv_id", exclude=[there]).select("conv_id", "turn", F.reverse("text").alias("text"))
+
+
 @query("S36 S20 S4 S10", """SELECT user_id, round(var_samp(value), 4) AS spread, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING count(*) > 10""")
 def trajectory_scan(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events").filter("event_type <> 'error'")

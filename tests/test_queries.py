@@ -47,6 +47,13 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got) == rows(want.columns, want.fetchall())
 
 
+def test_annotations_keep_whole_texts(spark):
+    given = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    got = registry.QUERIES["annotation_text_etl"](spark, DATA).collect()
+    assert any(len(r["text"]) > 12 for r in got if r["text"])
+    assert all(r["text"] == (given[r["conv_id"], r["turn"]] or "")[::-1] for r in got if r["text"] is not None)
+
+
 def test_every_query_names_what_it_covers():
     assert all(registry.IDS[n] for n in registry.QUERIES)
 
