@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -14,27 +17,56 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; Arrow batches are kept small because a text may be long."""
+    """One of the given tables. Arrow batches are bounded in rows and bytes because a text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all machines see: spark.checkpoint.dir. Where it is unset, one of our own if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="framelake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives executors."""
+#: paths made in each open scratch block, the innermost last
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage and outlives executors. At the end of the scratch block it
+    goes; a table to be kept belongs to the block around that one, and stays where there is none."""
     path = f"{shared_dir(df.sparkSession)}/framelake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if blocks := _scratch.get()[: -1 if keep else None]:
+        blocks[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that written() made."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those written with keep=True."""
+    made: list[str] = []
+    token = _scratch.set((*_scratch.get(), made))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        delete(spark, made)
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo by; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by
@@ -72,6 +104,17 @@ def maybe_in(keys: DataFrame, key: str, bits: int = 1 << 24) -> Callable[[Column
     return lambda c: inside(at(c))
 
 
+def joined_rows(same: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix of links the smallest row reachable from each row."""
+    label = np.arange(len(same))
+    while True:
+        new = np.minimum(label, np.where(same, label[None, :], len(same)).min(1)) if len(same) else label
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a task, in parts of bounded size, as stars around each part's smallest nodes."""
     root: dict[int, int] = {}

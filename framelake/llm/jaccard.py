@@ -6,12 +6,13 @@ sizes m <= n can only reach the threshold when 100 m >= 80 n and when they share
 n - ceil(0.8 n) + 1 of each; only those columns of the incidence matrix are multiplied, a block of columns in each task.
 
 The product counts the columns that two sets share; with what can stand after their prefixes this bounds their overlap,
-and pairs below what their sizes ask for are discarded. The others are multiplied over their whole sets, block by block.
+and pairs below what their sizes ask for are discarded. The sets of the others are multiplied, a block of rows in a task.
 
-Columns that many classes share would give a square of pairs. So turns come first that pair every class of such a column
-only with the leaders of its band of sizes and the next ones; what links is contracted, and columns whose classes are all in one component are done. When the
-product of the columns left is small against their entries, or after TURNS turns, all pairs between different components
-are taken. Only components are returned, so pairs inside one need not be tried: no link between two components is skipped.
+A column that more than HOT classes share isn't paired row by row. Each class belongs to the largest column of its prefix,
+its home; homes are cut to parts of at most BLOCK sets. In turns the members of a part are multiplied with each other and
+with LEADERS random members of the column, and what links is contracted to components. Then parts that meet in a column are
+multiplied with each other, but for parts of one component and parts whose sizes can't reach the threshold: no link between
+two components is skipped, and only components are returned.
 
 Texts without words have no shingles and link with nothing. Null and empty texts are such texts. Repeated rows, also with
 the same doc_id, are copies; rows without doc_id take part, and a component of such rows only has a null id."""
@@ -23,18 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import components, join_hot, written
+from framelake.llm.common import components, join_hot, joined_rows, scratch, written
 
 WORDS, PERCENT = 5, 80
 SKETCH = 1 << 22
 FILTER = 1 << 23  # bits of the filter on ids before texts are read again
 MEMO = 300_000
-HOT, TURNS = 128, 1  # classes of a column from which leaders are tried first, and how often
-DENSE = 16  # pairs of the product for each of its entries
-BLOCK = 512  # classes in a part of a column
+HOT = 32  # classes of a column from which its sets are multiplied in parts
+BLOCK, ELEMENTS = 512, 4_000_000  # sets and shingles in a part, about at most
+LEADERS, TURNS = 64, 4
+COMMON = 20_000  # documents in a cell of the sketch from which its rows are spread over tasks
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -98,22 +100,27 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
-    """(shingle, d, n, pos): the entries of the columns that bound the join, for each class at least once."""
+    """(shingle, d, n, pos): the entries of the columns that bound the join, a row for each class and column."""
     got = survey.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter("n >= 64").toPandas()  # at most SKETCH rows
-    level = np.zeros(SKETCH, dtype=np.uint8)
-    level[got["a"].to_numpy(dtype=np.int64)] = np.log2(got["n"].to_numpy(dtype=float)).astype(np.uint8)
-    common = docs.sparkSession.sparkContext.broadcast(level)
+    mean = (survey.filter("kind = 0").agg(F.sum("n")).first()[0] or 0) / SKETCH
+    level, heavy = np.zeros(SKETCH, dtype=np.uint8), np.zeros(SKETCH, dtype=bool)
+    at, n = got["a"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=float)
+    level[at], heavy[at] = np.log2(n).astype(np.uint8), n >= max(COMMON, 8 * mean)
+    shared = docs.sparkSession.sparkContext.broadcast((level, heavy))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, seen = common.value, set()
+        (level, heavy), seen = shared.value, set()
         for batch in batches:
             parts = []
+            if len(seen) > MEMO:
+                seen.clear()
             for _, s in _sets(batch):
                 if not len(s) or (x := digest(s)) in seen:
                     continue
                 seen.add(x)
-                order = np.argsort(level[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[: prefix_length(len(s))]
-                parts.append((s[order].view(np.int64), x, len(s)))
+                cell = (s & np.uint64(SKETCH - 1)).astype(np.int64)
+                order = np.argsort(level[cell], kind="stable")[: prefix_length(len(s))]
+                parts.append((s[order].view(np.int64), x, len(s), heavy[cell[order]]))
             if parts:
                 size = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
@@ -122,127 +129,204 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
                         pa.array(np.repeat([p[1] for p in parts], size)),
                         pa.array(np.repeat([p[2] for p in parts], size).astype(np.int32)),
                         pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size])),
+                        pa.array(np.concatenate([p[3] for p in parts])),
                     ],
-                    ["shingle", "d", "n", "pos"],
+                    ["shingle", "d", "n", "pos", "common"],
                 )
 
-    rows = docs.mapInArrow(entries, "shingle long, d long, n int, pos int")
-    w = Window.partitionBy("shingle")
-    return rows.withColumn("_lo", F.min("d").over(w)).withColumn("_hi", F.max("d").over(w)).filter("_lo <> _hi").drop("_lo", "_hi").distinct()
+    rows = docs.mapInArrow(entries, "shingle long, d long, n int, pos int, common boolean")
+    # columns of a single class go; rows of common cells stay and are spread, so that no group here has over COMMON rows
+    w = Window.partitionBy("shingle", F.when(F.col("common"), F.pmod(F.xxhash64("d"), F.lit(1009))).otherwise(0))
+    rows = rows.withColumn("_lo", F.min("d").over(w)).withColumn("_hi", F.max("d").over(w)).filter("common OR _lo <> _hi")
+    return rows.select("shingle", "d", "n", "pos").distinct()
 
 
-def _check(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d")).join(classes, "d").select("doc_id")
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, s): the sets of the wanted classes (d, doc_id), a row for each."""
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    filled = ids.select(bit.alias("at")).groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v"))
+    filled = wanted.select(bit.alias("at")).groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v"))
     got = filled.toPandas()  # at most FILTER / 32 rows
     bits = np.zeros(FILTER // 32, dtype=np.uint32)
     bits[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).astype(np.uint32)
-    wanted = spark.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
+            batch = batch.filter(pa.array((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
             found = [s for _, s in _sets(batch) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["d", "s"])
 
-    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, {}
+    found = docs.select("doc_id", "text", bit.alias("at")).mapInArrow(chosen, "d long, s binary")
+    return found.groupBy("d").agg(F.first("s").alias("s")).join(wanted.select("d"), "d", "left_semi")
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Shared columns of each pair of rows: the product of two incidence matrices. Columns with few pairs are accumulated
+    pair by pair, the others as slices of a dense product."""
+    a, b = np.concatenate(one), np.concatenate(two)
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (one, two))
+    columns = np.intersect1d(a, b)
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    if not len(columns):
+        return out
+    ia, ib = (np.minimum(np.searchsorted(columns, x), len(columns) - 1) for x in (a, b))
+    ra, ia = (x[columns[ia] == a] for x in (ra, ia))
+    rb, ib = (x[columns[ib] == b] for x in (rb, ib))
+    na, nb = (np.bincount(x, minlength=len(columns)) for x in (ia, ib))
+    few = na * nb <= 16
+    order = np.argsort(ib, kind="stable")
+    start = np.cumsum(nb) - nb
+    own = few[ia]
+    times = nb[ia[own]]
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[ia[own]], times)
+    code = np.repeat(ra[own], times) * len(two) + rb[order[at]]
+    out += np.bincount(code, minlength=out.size).reshape(out.shape)
+    number = np.cumsum(~few) - 1
+    da, db = ~few[ia], ~few[ib]
+    ca, cb, ra, rb = number[ia[da]], number[ib[db]], ra[da], rb[db]
+    for k in range(0, int((~few).sum()), 2048):
+        x, y = np.zeros((len(one), 2048), np.float32), np.zeros((len(two), 2048), np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            here = (c >= k) & (c < k + 2048)
+            m[r[here], c[here] - k] = 1
+        out += x @ y.T
+    return out
+
+
+def _links(ids: list[int], sets: list[np.ndarray], first: int, own: bool) -> list[tuple[int, int]]:
+    """Links that join what the first sets of a block share with the rest, and with each other if own is set."""
+    other = 0 if own else first
+    size = np.array([len(s) for s in sets])
+    both = overlaps(sets[:first], sets[other:])
+    near = np.zeros((len(sets), len(sets)), dtype=bool)
+    near[:first, other:] = 100 * both >= PERCENT * (size[:first, None] + size[None, other:] - both)
+    return [(ids[k], ids[r]) for k, r in enumerate(joined_rows(near | near.T).tolist()) if ids[k] != ids[r]]
+
+
+def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """blocks (i, j, side, own, d): links (a, b) found by multiplying the sets of side 0 of each block (i, j) with those of
+    side 1, and with each other where own is set."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held, first, own, out = None, [], [], 0, False, []
+
+        def give() -> list[tuple[int, int]]:
+            return _links(ids, held, first, own) if first and len(ids) > (0 if own else first) else []
+
         for batch in batches:
-            a, b = [], []
-            for key, x, y, t in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), *(batch.column(k).to_pylist() for k in (3, 4)), batch.column(5), strict=True):
-                if key != block:
-                    block, held = key, {}
-                if y is None:  # the sets of a block come before its pairs
-                    held[x] = np.frombuffer(t.as_py(), np.uint64)
-                    continue
-                one, two = held[x], held[y]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= PERCENT * (len(one) + len(two) - both):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    at = docs.select("doc_id", "text", bit.alias("at"))
-    sets = at.mapInArrow(chosen, "d long, s binary")
-    # a block is a column, or a part of it by a part of it where many classes share it: each set goes once to each block
-    place = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("k") / BLOCK)).cast("int")
-    keyed = pairs.select("shingle", place("a").alias("i"), place("b").alias("j"), "a", "b")
-    wanted_sets = keyed.select("shingle", "i", "j", F.explode(F.array("a", "b")).alias("d")).distinct().join(sets, "d")
-    rows = wanted_sets.select("shingle", "i", "j", F.col("d").alias("a"), F.lit(None).cast("long").alias("b"), "s").unionByName(keyed.withColumn("s", F.lit(None).cast("binary")))
-    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", F.col("b").isNotNull())
-    return rows.select("shingle", "i", "j", "a", "b", "s").mapInArrow(enough, "a long, b long")
-
-
-def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame:
-    """Verified links (a, b) between classes that connect every component."""
-    fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    entries = _columns(docs, survey)
-    links = tried = None
-    w = Window.partitionBy("shingle")
-    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
-    for turn in range(TURNS + 1):  # leaders are tried in all turns but the last
-        if links is None:
-            entries = entries.withColumn("c", F.col("d")).withColumn("band", band)
-        else:
-            entries = entries.drop("c", "k").join(components(links).withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("root", "d")).drop("root")
-            entries = entries.withColumn("_lo", F.min("c").over(w)).withColumn("_hi", F.max("c").over(w)).filter("_lo <> _hi").drop("_lo", "_hi")
-        entries = written(entries.withColumn("k", F.count(F.lit(1)).over(w)))
-        total, square, most = entries.agg(F.count(F.lit(1)), F.sum("k") / 2, F.max("k")).first()
-        if not total:
-            break
-        last = most <= HOT or square <= DENSE * total or turn == TURNS
-        other = entries.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"), F.col("pos").alias("q"), "k", F.col("band").alias("own"))
-        if last:
-            # the product; in a column that many share a pair counts only if it can be their first: all that two sets share
-            # stands at the first column that they share and after it
-            first = F.expr(f"k <= {HOT} OR {100 + PERCENT} * least(n - pos, m - q) >= {PERCENT} * (n + m)")
-            pairs = entries.drop("band").join(other.drop("k", "own"), "shingle").filter("d < b AND c <> cb").filter(fits).filter(first)
-        else:
-            # a leader for each column and band of sizes; sets of one band may link, and so may those of the next
-            lead = entries.filter(F.col("k") > HOT).groupBy("shingle", "band").agg(F.min_by(F.struct("d", "n", "c"), F.xxhash64("d", F.lit(turn))).alias("l"))
-            near = other.filter(F.col("k") > HOT).withColumn("band", F.explode(F.array(F.col("own") - 1, "own", F.col("own") + 1)))
-            pairs = near.join(lead, ["shingle", "band"]).select("shingle", "k", "b", "m", "cb", "l.*").filter("d <> b AND c <> cb").filter(fits)
-        counted = pairs.groupBy(F.least("d", "b").alias("a"), F.greatest("d", "b").alias("b")).agg(
-            F.max_by("shingle", "k").alias("shingle"), F.max("k").alias("k"), F.count_if(F.col("k") <= HOT).alias("both"), F.first("n").alias("n"), F.first("m").alias("m")
-        )
-        if last:
-            # shared columns: those counted and at most the common ones of either set. After the prefixes come at most so many
-            many = entries.filter(F.col("k") > HOT).groupBy("d").agg(F.count(F.lit(1)).alias("h"))
-            for side in ("a", "b"):
-                counted = counted.join(many.select(F.col("d").alias(side), F.col("h").alias(f"h_{side}")), side, "left")
-            after = f"({PERCENT} * greatest(n, m) + 99) div 100 - 1"
-            counted = counted.filter(f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}")
-        pairs = counted.select("a", "b", "shingle", "k")
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = written(_check(docs, classes, pairs))
+            for i, j, side, same, d, s in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+                if (i, j) != key:
+                    out += give()
+                    key, ids, held, first, own = (i, j), [], [], 0, same
+                ids.append(d)
+                held.append(np.frombuffer(s.as_py(), np.uint64))
+                first += side == 0
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                out = []
+        out += give()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    rows = blocks.join(sets, "d").select("i", "j", "side", "own", "d", "s")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "a long, b long")
+
+
+def _placed(rows: DataFrame, links: DataFrame | None, d: str = "d", c: str = "c") -> DataFrame:
+    """rows with the component of class d, itself where it has no link."""
+    if links is None:
+        return rows.withColumn(c, F.col(d))
+    roots = components(links).select(F.col("node").alias(d), F.col("root").alias("_root"))
+    return rows.join(roots, d, "left").withColumn(c, F.coalesce("_root", d)).drop("_root")
+
+
+def _parts(size: str, elements: str) -> Column:
+    return F.ceil(F.greatest(F.expr(size) / BLOCK, F.expr(elements) / ELEMENTS)).cast("int")
+
+
+def _hot_links(entries: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join what hot columns join. entries (shingle, d, n, k) of hot columns; homes (d, n, home, parts, part)."""
+    links = None
+    for turn in range(TURNS):
+        own = homes
+        if turn:
+            placed = written(_placed(homes.filter("parts > 1"), links))
+            own = placed.join(placed.groupBy("home").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("home"), "home", "left_semi")
+        lead = entries.filter(F.pmod(F.xxhash64("d", "shingle", F.lit(turn)), F.col("k")) < LEADERS).select(F.col("shingle").alias("home"), "d")
+        lead = lead.join(own.select("home", "parts").distinct(), "home").select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "d")
+        blocks = own.select("home", "part", F.lit(0).alias("side"), "d").unionByName(lead).withColumn("own", F.lit(True))
+        found = written(_multiplied(blocks.select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d"), sets))
         links = found if links is None else links.unionAll(found)
-        tried = pairs.select("a", "b")
-        if last:
+        if turn and found.isEmpty() or not turn and homes.filter("parts > 1").isEmpty():
             break
-    return links
+    band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
+    placed = written(_placed(homes, links).withColumn("band", band))
+    mixed = entries.join(placed.select("d", "c"), "d").groupBy("shingle").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("shingle")
+    mixed = written(mixed)
+    if mixed.isEmpty():
+        return links
+    # parts of one component where it is large, and pools of small components
+    group = placed.groupBy("home", "band", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
+    group = group.withColumn("single", F.when(F.col("size") >= BLOCK // 4, F.col("c")))
+    sizes = group.groupBy("home", "band", "single").agg(_parts("sum(size)", "sum(elements)").alias("cut"))
+    group = group.select("home", "band", "c", "single").join(sizes.withColumnRenamed("single", "_s"), ["home", "band"]).filter("single <=> _s").drop("_s")
+    p = F.xxhash64("home", "band", "single", F.when(F.col("single").isNull(), F.pmod(F.xxhash64("c"), F.col("cut"))).otherwise(F.pmod(F.xxhash64("d"), F.col("cut"))))
+    placed = written(placed.join(group, ["home", "band", "c"]).withColumn("p", p))
+    meet = entries.join(mixed, "shingle", "left_semi").join(placed.select("d", "p", "single", "band", "home", "parts"), "d")
+    meet = written(meet.select("shingle", "p", "single", "band", "home", "parts").distinct())
+    other = meet.select("shingle", F.col("p").alias("q"), F.col("single").alias("single_q"), F.col("band").alias("band_q"), F.col("home").alias("home_q"))
+    pairs = meet.join(other, "shingle").filter("p <= q AND abs(band - band_q) <= 1 AND NOT coalesce(single = single_q, false) AND NOT (home = home_q AND parts = 1)")
+    pairs = written(pairs.select("p", "q").distinct())
+    member = placed.select("d", F.col("p").alias("m"))
+    blocks = pairs.join(member, F.col("p") == F.col("m")).select("p", "q", F.lit(0).alias("side"), "d").unionByName(pairs.filter("p <> q").join(member, F.col("q") == F.col("m")).select("p", "q", F.lit(1).alias("side"), "d"))
+    return links.unionAll(written(_multiplied(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d"), sets)))
+
+
+def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Verified links (a, b) between classes that connect every component; None where no column is shared."""
+    entries = written(_columns(docs, survey))
+    hot = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT))
+    hot_entries = written(entries.join(hot, "shingle"))
+    some_hot = not hot_entries.isEmpty()
+    homes = hot_entries.groupBy("d").agg(F.max(F.struct("k", "shingle")).alias("h"), F.first("n").alias("n"), F.count(F.lit(1)).alias("h_d")).select("d", "n", F.col("h.shingle").alias("home"), "h_d")
+    sizes = homes.groupBy("home").agg(_parts("count(1)", "sum(n)").alias("parts"))
+    homes = written(homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")))
+    # the product of the other columns
+    cold = entries.join(hot.select("shingle"), "shingle", "left_anti")
+    other = cold.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"))
+    fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    pairs = cold.withColumnRenamed("d", "a").join(other, "shingle").filter("a < b").filter(fits)
+    pairs = pairs.groupBy("a", "b").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # shared columns: those counted and at most the hot ones of either set. After the prefixes come at most so many
+    for side in ("a", "b"):
+        pairs = pairs.join(homes.select(F.col("d").alias(side), F.col("h_d").alias(f"h_{side}")), side, "left") if some_hot else pairs.withColumn(f"h_{side}", F.lit(0))
+    after = f"({PERCENT} * greatest(n, m) + 99) div 100 - 1"
+    enough = f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}"
+    pairs = written(pairs.filter(enough).select("a", "b", "shingle"))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("d")).unionByName(homes.select("d")).distinct()
+    wanted = written(used.join(classes.select("d", "doc_id"), "d"))
+    if wanted.isEmpty():
+        return None
+    sets = written(_whole_sets(docs, wanted))
+    links = _hot_links(hot_entries, homes, sets) if some_hot else None
+    apart = _placed(_placed(pairs, links, "a", "ca"), links, "b", "cb").filter("ca <> cb") if some_hot else pairs
+    blocks = apart.select(F.col("shingle").alias("i"), F.explode(F.array("a", "b")).alias("d")).distinct()
+    found = written(_multiplied(blocks.select("i", F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("own"), "d"), sets))
+    return found if links is None else links.unionAll(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(docs.mapInArrow(_survey, "kind int, a long, n long, d long"))
-    rows = written(survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "d"))
-    classes = written(rows.filter("d is not null").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
-    links = _classes_joined(docs, survey, classes)
-    if links is not None:
-        joined = classes.join(components(links).withColumnRenamed("node", "d"), "d", "left").withColumn("root", F.coalesce("root", "d"))
-    else:
-        joined = classes.withColumn("root", F.col("d"))
-    joined = written(joined.select("d", "doc_id", "root", "copies"))
-    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    shared = joined.join(least, "root").filter("k > 1 OR copies > 1").select("d", "component_id")
-    out = join_hot(rows, shared, "d", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch(docs.sparkSession):
+        survey = written(docs.mapInArrow(_survey, "kind int, a long, n long, d long"))
+        rows = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "d")
+        classes = written(rows.filter("d is not null").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+        joined = written(_placed(classes, _classes_joined(docs, survey, classes), "d", "root"))
+        least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k"))
+        shared = joined.join(least, "root").filter("k > 1 OR copies > 1").select("d", "component_id")
+        out = join_hot(rows, shared, "d", "left")
+        return written(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), keep=True)
 
 
 _SPACE = "[ \\t\\n\\v\\f\\r]+"

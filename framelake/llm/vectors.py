@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import components, join_hot, written
+from framelake.llm.common import components, join_hot, joined_rows, written
 
 THRESHOLD, RECALL = 0.9, 0.999
 K, ORDERS, DESCENTS, SEARCHES = 6, 8, 3, 4
@@ -82,23 +82,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> It
         yield held
 
 
-def _labels(same: np.ndarray) -> np.ndarray:
-    """The smallest row reachable from each row."""
-    label = np.arange(len(same))
-    while True:
-        new = np.minimum(label, np.where(same, label[None, :], len(same)).min(1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _nearest(ids: np.ndarray, x: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, ...]:
     """u, v, sim, kind of rows that meet: the K nearest of each row, and for a row whose K nearest all are of its own
     component the K nearest of others too. Every pair that passes counts: links join the rows that it connects."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    label = _labels((s >= THRESHOLD) | (root[:, None] == root[None, :]))
+    label = joined_rows((s >= THRESHOLD) | (root[:, None] == root[None, :]))
     other = label[:, None] != label[None, :]
     k = min(K, len(ids))
     new = np.flatnonzero(root != root[label])

@@ -191,8 +191,9 @@ def test_jaccard_join(spark, docs, texts, none):
 def test_jaccard_join_of_hot_groups(spark, monkeypatch):
     """Leaders first: a clique of edits of one text, and many texts around a common passage."""
     monkeypatch.setattr(jaccard, "HOT", 8)
-    monkeypatch.setattr(jaccard, "DENSE", 1)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LEADERS", 3)
+    monkeypatch.setattr(jaccard, "COMMON", 50)
     rng = random.Random(5)
     base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
     rows = []
