@@ -8,33 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import bpe, decontaminate, jaccard, langid, substrings
-from framelake.llm.common import shared_dir, table, written
+from framelake.llm.common import delete, maybe_in, scratch, shared_dir, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. Where nothing could be learned, because no
-    row names its language, a text with letters stays."""
+    """Rejects documents without a language: null texts and texts without a letter. Where nothing could be learned, because no
+    row names its language, a text with letters stays. A document without lang gets the language predicted for it."""
     model = langid.train(docs)
     p = langid.predict(F.col("text"), model)
-    return docs.select(*COLUMNS, p.alias("_lid")).filter((F.col("_lid.lang_pred") != "und") | F.col("text").rlike("\\p{L}")).select(*COLUMNS)
+    found = docs.select(*COLUMNS, p.alias("_lid")).filter((F.col("_lid.lang_pred") != "und") | F.col("text").rlike("\\p{L}"))
+    return found.withColumn("lang", F.coalesce("lang", F.nullif("_lid.lang_pred", F.lit("und")))).select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near duplicates, the one with the smallest doc_id, nulls last; a row that repeats is
     kept once. Rows are told apart by doc_id and text, so rows with one doc_id or none are separate documents."""
     keyed = docs.select(*COLUMNS, substrings.row_key().alias("_row"))
-    groups = written(jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root")))
-    others = groups.filter("root <> _row").distinct()
-    members = written(others.unionAll(others.select(F.col("root").alias("_row"), "root").distinct()))
-    ranked = members.join(keyed.select("_row", "doc_id").distinct(), "_row")
-    kept = ranked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
-    dropped = written(members.select("_row").join(kept, "_row", "left_anti"))
-    left = keyed.join(dropped, "_row", "left_anti")
-    twice = written(groups.groupBy("_row").count().filter("count > 1").select("_row"))
-    once = left.join(twice, "_row", "left_anti").unionByName(left.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
-    return once.select(*COLUMNS)
+    with scratch(spark):
+        groups = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root"))
+        large = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+        members = written(groups.join(large, "root", "left_semi").distinct())
+        # texts are read where a row may be a member; all other rows aren't shuffled
+        ids = keyed.select("_row", "doc_id").filter(maybe_in(members, "_row")(F.col("_row"))).distinct().join(members, "_row")
+        first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row", F.lit(True).alias("_first"))
+        members = written(members.select("_row").join(first, "_row", "left"), keep=True)
+    may = keyed.withColumn("_may", maybe_in(members, "_row")(F.col("_row")))
+    kept = may.filter("_may").join(members.withColumn("_member", F.lit(True)), "_row", "left").filter("_member IS NULL OR _first")
+    return may.filter("NOT _may").select(*COLUMNS).unionByName(kept.dropDuplicates(["_row"]).select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
+    """All stages applied to documents. The tables of a stage go when the next one is written."""
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        delete(spark, before)
+        before = [path]
         docs = spark.read.parquet(path)
     return docs
