@@ -19,7 +19,7 @@ the same doc_id, are copies; rows without doc_id take part, and a component of s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,14 +194,68 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _meeting(size: np.ndarray, near: np.ndarray, first: int, own: bool) -> np.ndarray:
+    """The smallest row reachable from each row of a block by near, which holds for the first rows against the rest, and
+    against each other if own is set."""
+    other = 0 if own else first
+    same = np.zeros((len(size), len(size)), dtype=bool)
+    same[:first, other:] = near
+    return joined_rows(same | same.T)
+
+
 def _links(ids: list[int], sets: list[np.ndarray], first: int, own: bool) -> list[tuple[int, int]]:
-    """Links that join what the first sets of a block share with the rest, and with each other if own is set."""
+    """Links that join the sets of a block."""
     other = 0 if own else first
     size = np.array([len(s) for s in sets])
     both = overlaps(sets[:first], sets[other:])
-    near = np.zeros((len(sets), len(sets)), dtype=bool)
-    near[:first, other:] = 100 * both >= PERCENT * (size[:first, None] + size[None, other:] - both)
-    return [(ids[k], ids[r]) for k, r in enumerate(joined_rows(near | near.T).tolist()) if ids[k] != ids[r]]
+    label = _meeting(size, 100 * both >= PERCENT * (size[:first, None] + size[None, other:] - both), first, own)
+    return [(ids[k], ids[r]) for k, r in enumerate(label.tolist()) if ids[k] != ids[r]]
+
+
+def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
+    """blocks (i, j, side, own, d): the rows of each block that have a candidate in it, as (i, j, side, own, d) with a block
+    for each group of rows that candidates connect. The product of the hot columns of their prefixes counts what two sets
+    share; with the cold ones that either has and what can stand after the prefixes this bounds their overlap."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def give() -> None:
+            first = sum(r[0] == 0 for r in rows)
+            own = rows[0][1] if rows else False
+            other = 0 if own else first
+            if not first or len(rows) == other or len(rows) < 2:
+                return
+            n, cold = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4))
+            both = overlaps([r[5] for r in rows[:first]], [r[5] for r in rows[other:]])
+            x, y = n[:first, None], n[None, other:]
+            most = both + np.minimum(cold[:first, None], cold[None, other:]) + (PERCENT * np.maximum(x, y) + 99) // 100 - 1
+            near = (both > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & ((100 + PERCENT) * most >= PERCENT * (x + y))
+            near &= np.array([r[2] for r in rows[:first]])[:, None] != np.array([r[2] for r in rows[other:]])[None, :]
+            label = _meeting(n, near, first, own)
+            many = np.bincount(label, minlength=len(rows))
+            out.extend((*key, int(g), *r[:3]) for g, r in zip(label, rows, strict=True) if many[g] > 1)
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["i", "j", "g", "side", "own", "d"])
+
+        for batch in batches:
+            flat = batch.column(7)
+            for k, (i, j, side, same, d, n, cold) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
+                if (i, j) != key:
+                    give()
+                    key, rows = (i, j), []
+                rows.append((side, same, d, n, cold, flat[k].values.to_numpy()))
+            if len(out) > 10_000:
+                yield batch_of()
+                out.clear()
+        give()
+        yield batch_of()
+
+    rows = blocks.join(homes.select("d", "n", "cold", "columns"), "d").select("i", "j", "side", "own", "d", "n", "cold", "columns")
+    found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "i long, j long, g long, side int, own boolean, d long")
+    return found.select(F.xxhash64("i", "j").alias("i"), F.col("g").alias("j"), "side", "own", "d")
 
 
 def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,23 +298,31 @@ def _parts(size: str, elements: str) -> Column:
     return F.ceil(F.greatest(F.expr(size) / BLOCK, F.expr(elements) / ELEMENTS)).cast("int")
 
 
-def _hot_links(entries: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that join what hot columns join. entries (shingle, d, n, k) of hot columns; homes (d, n, home, parts, part)."""
+def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links that join what hot columns join. entries (shingle, d, n, k) of hot columns; homes (d, n, home, parts, part, members,
+    cold, columns); fetch gives the whole sets of classes."""
+
+    def tried(blocks: DataFrame) -> DataFrame:
+        near = written(_candidates(blocks, homes))
+        return written(_multiplied(near, fetch(near.select("d").distinct())))
+
     links = None
     for turn in range(TURNS):
         own = homes
         if turn:
-            placed = written(_placed(homes.filter("parts > 1"), links))
+            placed = written(_placed(homes.filter("parts > 1").drop("columns"), links))
             own = placed.join(placed.groupBy("home").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("home"), "home", "left_semi")
-        lead = entries.filter(F.pmod(F.xxhash64("d", "shingle", F.lit(turn)), F.col("k")) < LEADERS).select(F.col("shingle").alias("home"), "d")
-        lead = lead.join(own.select("home", "parts").distinct(), "home").select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "d")
+        # a share of the column's members, LEADERS at most, goes to each part of its home
+        at = own.select("home", "parts", "members").distinct().withColumnRenamed("home", "shingle")
+        lead = entries.join(at, "shingle").filter(F.pmod(F.xxhash64("d", "shingle", F.lit(turn)), F.col("k")) < F.least(F.lit(LEADERS), F.expr("2 + members div 8")))
+        lead = lead.select(F.col("shingle").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "d")
         blocks = own.select("home", "part", F.lit(0).alias("side"), "d").unionByName(lead).withColumn("own", F.lit(True))
-        found = written(_multiplied(blocks.select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d"), sets))
+        found = tried(blocks.select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d"))
         links = found if links is None else links.unionAll(found)
         if turn and found.isEmpty() or not turn and homes.filter("parts > 1").isEmpty():
             break
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
-    placed = written(_placed(homes, links).withColumn("band", band))
+    placed = written(_placed(homes.drop("columns"), links).withColumn("band", band))
     mixed = entries.join(placed.select("d", "c"), "d").groupBy("shingle").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("shingle")
     mixed = written(mixed)
     if mixed.isEmpty():
@@ -279,18 +341,21 @@ def _hot_links(entries: DataFrame, homes: DataFrame, sets: DataFrame) -> DataFra
     pairs = written(pairs.select("p", "q").distinct())
     member = placed.select("d", F.col("p").alias("m"))
     blocks = pairs.join(member, F.col("p") == F.col("m")).select("p", "q", F.lit(0).alias("side"), "d").unionByName(pairs.filter("p <> q").join(member, F.col("q") == F.col("m")).select("p", "q", F.lit(1).alias("side"), "d"))
-    return links.unionAll(written(_multiplied(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d"), sets)))
+    return links.unionAll(tried(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d")))
 
 
 def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Verified links (a, b) between classes that connect every component; None where no column is shared."""
     entries = written(_columns(docs, survey))
-    hot = written(entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT))
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    hot = written(counts.filter(F.col("k") > HOT))
+    some_hot = not hot.isEmpty()
     hot_entries = written(entries.join(hot, "shingle"))
-    some_hot = not hot_entries.isEmpty()
-    homes = hot_entries.groupBy("d").agg(F.max(F.struct("k", "shingle")).alias("h"), F.first("n").alias("n"), F.count(F.lit(1)).alias("h_d")).select("d", "n", F.col("h.shingle").alias("home"), "h_d")
-    sizes = homes.groupBy("home").agg(_parts("count(1)", "sum(n)").alias("parts"))
-    homes = written(homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")))
+    shared = entries.groupBy("d").agg(F.count(F.lit(1)).alias("shared"))
+    homes = hot_entries.groupBy("d").agg(F.max(F.struct("k", "shingle")).alias("h"), F.first("n").alias("n"), F.collect_list("shingle").alias("columns")).select("d", "n", F.col("h.shingle").alias("home"), "columns")
+    sizes = homes.groupBy("home").agg(_parts("count(1)", "sum(n)").alias("parts"), F.count(F.lit(1)).alias("members"))
+    homes = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")).join(shared, "d")
+    homes = written(homes.withColumn("cold", F.col("shared") - F.size("columns")).drop("shared"))
     # the product of the other columns
     cold = entries.join(hot.select("shingle"), "shingle", "left_anti")
     other = cold.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"))
@@ -299,19 +364,28 @@ def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> D
     pairs = pairs.groupBy("a", "b").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
     # shared columns: those counted and at most the hot ones of either set. After the prefixes come at most so many
     for side in ("a", "b"):
-        pairs = pairs.join(homes.select(F.col("d").alias(side), F.col("h_d").alias(f"h_{side}")), side, "left") if some_hot else pairs.withColumn(f"h_{side}", F.lit(0))
+        pairs = pairs.join(homes.select(F.col("d").alias(side), F.size("columns").alias(f"h_{side}")), side, "left") if some_hot else pairs.withColumn(f"h_{side}", F.lit(0))
     after = f"({PERCENT} * greatest(n, m) + 99) div 100 - 1"
     enough = f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}"
     pairs = written(pairs.filter(enough).select("a", "b", "shingle"))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("d")).unionByName(homes.select("d")).distinct()
-    wanted = written(used.join(classes.select("d", "doc_id"), "d"))
-    if wanted.isEmpty():
-        return None
-    sets = written(_whole_sets(docs, wanted))
-    links = _hot_links(hot_entries, homes, sets) if some_hot else None
-    apart = _placed(_placed(pairs, links, "a", "ca"), links, "b", "cb").filter("ca <> cb") if some_hot else pairs
+    sets: list[DataFrame] = []
+
+    def fetch(needed: DataFrame) -> DataFrame:
+        if sets:
+            needed = needed.join(sets[0].select("d"), "d", "left_anti")
+        needed = written(needed.join(classes.select("d", "doc_id"), "d"))
+        if not sets or not needed.isEmpty():
+            new = written(_whole_sets(docs, needed))
+            sets[:] = [sets[0].unionAll(new) if sets else new]
+        return sets[0]
+
+    links = _hot_links(hot_entries, homes, fetch) if some_hot else None
+    apart = written(_placed(_placed(pairs, links, "a", "ca"), links, "b", "cb").filter("ca <> cb")) if some_hot else pairs
+    if apart.isEmpty():
+        return links
     blocks = apart.select(F.col("shingle").alias("i"), F.explode(F.array("a", "b")).alias("d")).distinct()
-    found = written(_multiplied(blocks.select("i", F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("own"), "d"), sets))
+    whole = fetch(blocks.select("d").distinct())
+    found = written(_multiplied(blocks.select("i", F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("own"), "d"), whole))
     return found if links is None else links.unionAll(found)
 
 
