@@ -100,7 +100,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
-    """(shingle, d, n, pos): the entries of the columns that bound the join, a row for each class and column."""
+    """(shingle, d, n, last): the entries of the columns that bound the join, a row for each class and column. last says how
+    far in the order the prefix reaches."""
     got = survey.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter("n >= 64").toPandas()  # at most SKETCH rows
     mean = (survey.filter("kind = 0").agg(F.sum("n")).first()[0] or 0) / SKETCH
     level, heavy = np.zeros(SKETCH, dtype=np.uint8), np.zeros(SKETCH, dtype=bool)
@@ -120,7 +121,8 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
                 seen.add(x)
                 cell = (s & np.uint64(SKETCH - 1)).astype(np.int64)
                 order = np.argsort(level[cell], kind="stable")[: prefix_length(len(s))]
-                parts.append((s[order].view(np.int64), x, len(s), heavy[cell[order]]))
+                end = order[-1]
+                parts.append((s[order].view(np.int64), x, len(s), int(level[cell[end]]) << 25 | int(s[end]) >> 39, heavy[cell[order]]))
             if parts:
                 size = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
@@ -128,17 +130,18 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
                         pa.array(np.concatenate([p[0] for p in parts])),
                         pa.array(np.repeat([p[1] for p in parts], size)),
                         pa.array(np.repeat([p[2] for p in parts], size).astype(np.int32)),
-                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in size])),
-                        pa.array(np.concatenate([p[3] for p in parts])),
+                        pa.array(np.repeat([p[3] for p in parts], size).astype(np.int32)),
+                        pa.array(np.concatenate([p[4] for p in parts])),
                     ],
-                    ["shingle", "d", "n", "pos", "common"],
+                    ["shingle", "d", "n", "last", "common"],
                 )
 
-    rows = docs.mapInArrow(entries, "shingle long, d long, n int, pos int, common boolean")
+    rows = docs.mapInArrow(entries, "shingle long, d long, n int, last int, common boolean")
     # columns of a single class go; rows of common cells stay and are spread, so that no group here has over COMMON rows
-    w = Window.partitionBy("shingle", F.when(F.col("common"), F.pmod(F.xxhash64("d"), F.lit(1009))).otherwise(0))
+    w = Window.partitionBy("shingle", "salt")
+    rows = rows.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("d"), F.lit(1009))).otherwise(0))
     rows = rows.withColumn("_lo", F.min("d").over(w)).withColumn("_hi", F.max("d").over(w)).filter("common OR _lo <> _hi")
-    return rows.select("shingle", "d", "n", "pos").distinct()
+    return rows.select("shingle", "d", "n", "last").distinct()
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,8 +217,8 @@ def _links(ids: list[int], sets: list[np.ndarray], first: int, own: bool) -> lis
 
 def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
     """blocks (i, j, side, own, d): the rows of each block that have a candidate in it, as (i, j, side, own, d) with a block
-    for each group of rows that candidates connect. The product of the hot columns of their prefixes counts what two sets
-    share; with the cold ones that either has and what can stand after the prefixes this bounds their overlap."""
+    for each group of rows that candidates connect. The product of the columns of their prefixes counts what two sets
+    share; with what can stand after the prefix that ends first this bounds their overlap."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -226,10 +229,11 @@ def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
             other = 0 if own else first
             if not first or len(rows) == other or len(rows) < 2:
                 return
-            n, cold = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4))
+            n, last = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4))
             both = overlaps([r[5] for r in rows[:first]], [r[5] for r in rows[other:]])
             x, y = n[:first, None], n[None, other:]
-            most = both + np.minimum(cold[:first, None], cold[None, other:]) + (PERCENT * np.maximum(x, y) + 99) // 100 - 1
+            u, v = last[:first, None], last[None, other:]
+            most = both + (PERCENT * np.where(u < v, x, np.where(u > v, y, np.maximum(x, y))) + 99) // 100 - 1
             near = (both > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & ((100 + PERCENT) * most >= PERCENT * (x + y))
             near &= np.array([r[2] for r in rows[:first]])[:, None] != np.array([r[2] for r in rows[other:]])[None, :]
             label = _meeting(n, near, first, own)
@@ -242,18 +246,18 @@ def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
 
         for batch in batches:
             flat = batch.column(7)
-            for k, (i, j, side, same, d, n, cold) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
+            for k, (i, j, side, same, d, n, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
                 if (i, j) != key:
                     give()
                     key, rows = (i, j), []
-                rows.append((side, same, d, n, cold, flat[k].values.to_numpy()))
+                rows.append((side, same, d, n, end, flat[k].values.to_numpy()))
             if len(out) > 10_000:
                 yield batch_of()
                 out.clear()
         give()
         yield batch_of()
 
-    rows = blocks.join(homes.select("d", "n", "cold", "columns"), "d").select("i", "j", "side", "own", "d", "n", "cold", "columns")
+    rows = blocks.join(homes.select("d", "n", "last", "columns"), "d").select("i", "j", "side", "own", "d", "n", "last", "columns")
     found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "i long, j long, g long, side int, own boolean, d long")
     return found.select(F.xxhash64("i", "j").alias("i"), F.col("g").alias("j"), "side", "own", "d")
 
@@ -286,12 +290,17 @@ def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "a long, b long")
 
 
-def _placed(rows: DataFrame, links: DataFrame | None, d: str = "d", c: str = "c") -> DataFrame:
-    """rows with the component of class d, itself where it has no link."""
-    if links is None:
+def _placed(rows: DataFrame, roots: DataFrame | None, d: str = "d", c: str = "c") -> DataFrame:
+    """rows with the component of class d, itself where it has no link. roots (node, root) as components() gives it."""
+    if roots is None:
         return rows.withColumn(c, F.col(d))
-    roots = components(links).select(F.col("node").alias(d), F.col("root").alias("_root"))
-    return rows.join(roots, d, "left").withColumn(c, F.coalesce("_root", d)).drop("_root")
+    return rows.join(roots.select(F.col("node").alias(d), F.col("root").alias("_root")), d, "left").withColumn(c, F.coalesce("_root", d)).drop("_root")
+
+
+def _contracted(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components of those known and the links found since."""
+    known = [] if roots is None else [roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))]
+    return written(components(known[0].unionAll(found) if known else found))
 
 
 def _parts(size: str, elements: str) -> Column:
@@ -299,18 +308,19 @@ def _parts(size: str, elements: str) -> Column:
 
 
 def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links that join what hot columns join. entries (shingle, d, n, k) of hot columns; homes (d, n, home, parts, part, members,
-    cold, columns); fetch gives the whole sets of classes."""
+    """Components (node, root) of what hot columns join. entries (shingle, d, k) of hot columns; homes (d, n, home, parts, part,
+    members, last, columns); fetch gives the whole sets of classes."""
 
     def tried(blocks: DataFrame) -> DataFrame:
         near = written(_candidates(blocks, homes))
         return written(_multiplied(near, fetch(near.select("d").distinct())))
 
-    links = None
-    for turn in range(TURNS):
+    roots = None
+    several = not homes.filter("parts > 1").isEmpty()
+    for turn in range(TURNS if several else 1):
         own = homes
         if turn:
-            placed = written(_placed(homes.filter("parts > 1").drop("columns"), links))
+            placed = written(_placed(homes.filter("parts > 1").drop("columns"), roots))
             own = placed.join(placed.groupBy("home").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("home"), "home", "left_semi")
         # a share of the column's members, LEADERS at most, goes to each part of its home
         at = own.select("home", "parts", "members").distinct().withColumnRenamed("home", "shingle")
@@ -318,15 +328,15 @@ def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame]
         lead = lead.select(F.col("shingle").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "d")
         blocks = own.select("home", "part", F.lit(0).alias("side"), "d").unionByName(lead).withColumn("own", F.lit(True))
         found = tried(blocks.select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d"))
-        links = found if links is None else links.unionAll(found)
-        if turn and found.isEmpty() or not turn and homes.filter("parts > 1").isEmpty():
+        if turn and found.isEmpty():
             break
+        roots = _contracted(roots, found)
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
-    placed = written(_placed(homes.drop("columns"), links).withColumn("band", band))
+    placed = written(_placed(homes.drop("columns"), roots).withColumn("band", band))
     mixed = entries.join(placed.select("d", "c"), "d").groupBy("shingle").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("shingle")
     mixed = written(mixed)
     if mixed.isEmpty():
-        return links
+        return roots
     # parts of one component where it is large, and pools of small components
     group = placed.groupBy("home", "band", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
     group = group.withColumn("single", F.when(F.col("size") >= BLOCK // 4, F.col("c")))
@@ -341,52 +351,53 @@ def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame]
     pairs = written(pairs.select("p", "q").distinct())
     member = placed.select("d", F.col("p").alias("m"))
     blocks = pairs.join(member, F.col("p") == F.col("m")).select("p", "q", F.lit(0).alias("side"), "d").unionByName(pairs.filter("p <> q").join(member, F.col("q") == F.col("m")).select("p", "q", F.lit(1).alias("side"), "d"))
-    return links.unionAll(tried(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d")))
+    return _contracted(roots, tried(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d")))
 
 
 def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) between classes that connect every component; None where no column is shared."""
+    """Components (node, root) of the classes that verified links connect; None where no column is shared."""
     entries = written(_columns(docs, survey))
-    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"))
     hot = written(counts.filter(F.col("k") > HOT))
     some_hot = not hot.isEmpty()
-    hot_entries = written(entries.join(hot, "shingle"))
-    shared = entries.groupBy("d").agg(F.count(F.lit(1)).alias("shared"))
-    homes = hot_entries.groupBy("d").agg(F.max(F.struct("k", "shingle")).alias("h"), F.first("n").alias("n"), F.collect_list("shingle").alias("columns")).select("d", "n", F.col("h.shingle").alias("home"), "columns")
+    own = written(entries.groupBy("d").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("shingle").alias("columns")))
+    hot_entries = written(entries.join(hot, "shingle").select("shingle", "d", "k"))
+    homes = hot_entries.groupBy("d").agg(F.max(F.struct("k", "shingle")).alias("h"), F.count(F.lit(1)).alias("h_d")).select("d", F.col("h.shingle").alias("home"), "h_d").join(own, "d")
     sizes = homes.groupBy("home").agg(_parts("count(1)", "sum(n)").alias("parts"), F.count(F.lit(1)).alias("members"))
-    homes = homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")).join(shared, "d")
-    homes = written(homes.withColumn("cold", F.col("shared") - F.size("columns")).drop("shared"))
+    homes = written(homes.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")))
     # the product of the other columns
     cold = entries.join(hot.select("shingle"), "shingle", "left_anti")
-    other = cold.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"))
+    other = cold.select("shingle", F.col("d").alias("b"), F.col("n").alias("m"), F.col("last").alias("last_b"))
+    need = f"({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}"
     fits = F.expr(f"100 * least(n, m) >= {PERCENT} * greatest(n, m)")
     pairs = cold.withColumnRenamed("d", "a").join(other, "shingle").filter("a < b").filter(fits)
-    pairs = pairs.groupBy("a", "b").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("m").alias("m"))
-    # shared columns: those counted and at most the hot ones of either set. After the prefixes come at most so many
+    pairs = pairs.groupBy("a", "b").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("both"), *(F.first(c).alias(c) for c in ("n", "m", "last", "last_b")))
+    # shared columns: those counted and at most the hot ones of either set. After the prefix that ends first come at most so many
     for side in ("a", "b"):
-        pairs = pairs.join(homes.select(F.col("d").alias(side), F.size("columns").alias(f"h_{side}")), side, "left") if some_hot else pairs.withColumn(f"h_{side}", F.lit(0))
-    after = f"({PERCENT} * greatest(n, m) + 99) div 100 - 1"
-    enough = f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= ({PERCENT} * (n + m) + {99 + PERCENT}) div {100 + PERCENT}"
-    pairs = written(pairs.filter(enough).select("a", "b", "shingle"))
+        pairs = pairs.join(homes.select(F.col("d").alias(side), F.col("h_d").alias(f"h_{side}")), side, "left") if some_hot else pairs.withColumn(f"h_{side}", F.lit(0))
+    after = f"({PERCENT} * CASE WHEN last < last_b THEN n WHEN last > last_b THEN m ELSE greatest(n, m) END + 99) div 100 - 1"
+    pairs = written(pairs.filter(f"both + least(coalesce(h_a, 0), coalesce(h_b, 0)) + {after} >= {need}").select("a", "b", "shingle"))
     sets: list[DataFrame] = []
 
     def fetch(needed: DataFrame) -> DataFrame:
         if sets:
             needed = needed.join(sets[0].select("d"), "d", "left_anti")
+        else:
+            needed = needed.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("d"))).distinct()
         needed = written(needed.join(classes.select("d", "doc_id"), "d"))
         if not sets or not needed.isEmpty():
             new = written(_whole_sets(docs, needed))
             sets[:] = [sets[0].unionAll(new) if sets else new]
         return sets[0]
 
-    links = _hot_links(hot_entries, homes, fetch) if some_hot else None
-    apart = written(_placed(_placed(pairs, links, "a", "ca"), links, "b", "cb").filter("ca <> cb")) if some_hot else pairs
+    roots = _hot_links(hot_entries, homes, fetch) if some_hot else None
+    apart = written(_placed(_placed(pairs, roots, "a", "ca"), roots, "b", "cb").filter("ca <> cb")) if some_hot else pairs
     if apart.isEmpty():
-        return links
+        return roots
     blocks = apart.select(F.col("shingle").alias("i"), F.explode(F.array("a", "b")).alias("d")).distinct()
     whole = fetch(blocks.select("d").distinct())
     found = written(_multiplied(blocks.select("i", F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("own"), "d"), whole))
-    return found if links is None else links.unionAll(found)
+    return _contracted(roots, found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
