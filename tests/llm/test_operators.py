@@ -291,9 +291,75 @@ def test_decontamination(spark, docs, texts, none):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def small_model(monkeypatch):
+    for name, value in (("UNITS", 200), ("KNOWN", 500), ("ROUNDS", 3), ("HELD", 20_000)):  # names that only functions sent to tasks read
+        monkeypatch.setattr(brown, name, value)
+
+
+def test_lm_gains_are_exact():
+    rng = np.random.default_rng(4)
+    n, k = 30, brown.CLASSES
+    counts = rng.integers(0, 6, (n, n)).astype(float)
+    classes = rng.integers(0, k, n)
+    table = lambda c: np.array([[counts[np.ix_(c == a, c == b)].sum() for b in range(k)] for a in range(k)])
+    for u in range(8):
+        after, before = (np.bincount(classes, x, k) for x in (counts[u], counts[:, u]))
+        got = brown.gains(int(classes[u]), after, before, counts[u, u], table(classes))
+        for c in rng.integers(0, k, 6):
+            moved = classes.copy()
+            moved[u] = c
+            assert got[c] == pytest.approx(brown.likelihood(table(moved)) - brown.likelihood(table(classes)), abs=1e-6)
+
+
+def test_lm_score_by_brute_force(spark, docs, texts, monkeypatch):
+    """Bigrams and the model's probabilities of each token, one token at a time; the likelihood never falls."""
+    small_model(monkeypatch)
+    train = docs.filter(common.remainder(F.col("doc_id"), 7) != 2).select("text")
+    counts = common.written(brown.count_words(train))
+    seen = []
+    cluster = brown.cluster
+    monkeypatch.setattr(brown, "cluster", lambda b: cluster(b, seen.append))
+    m = brown.fit(train, counts)
+    assert seen == sorted(seen) and seen[-1] > seen[0]
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    number = {int(h): k for k, h in enumerate(m.listed)}
+    words = lambda t: [brown._memo[w] for w in (t or "").encode().lower().split()]
+    own = int((m.seen > brown._frequent(counts, brown.UNITS)).sum())
+    unit = lambda h: 0 if h == brown.END else number[h] + 1 if number.get(h, own) < own else brown.UNITS + 1 + h % brown.POOLS
+    pairs = Counter()
+    for r in train.collect():
+        u = [0, *map(unit, words(r["text"])), 0]
+        pairs.update(zip(u, u[1:], strict=False))
+    got = Counter()
+    for r in brown._bigrams(train, m.listed, own).collect():
+        for v, k in zip(np.frombuffer(r["after"], np.int32), np.frombuffer(r["n_after"], np.int64), strict=True):
+            got[r["unit"], int(v)] += int(k)
+        assert np.frombuffer(r["n_before"], np.int64).sum() == sum(k for (_, v), k in pairs.items() if v == r["unit"])
+    assert got == pairs
+    total = {c: sum(k for h, k in n.items() if h != brown.END and of(m, number, h) == c) for c in range(brown.CLASSES)}
+    kinds = Counter(of(m, number, h) for h in n if h != brown.END)
+    np.testing.assert_allclose(m.below, [math.log10(total[c] + brown.DELTA * (kinds[c] + 1)) for c in range(brown.CLASSES)])
+    np.testing.assert_allclose((10**m.move).sum(1), 1)
+    want = []
+    for d, t, _ in texts:
+        at, s = 0, 0.0
+        for h in words(t):
+            c = of(m, number, h)
+            s += m.move[at, c] + math.log10(n.get(h, 0) + brown.DELTA) - m.below[c]
+            at = c
+        s += m.move[at, 0]
+        want.append((d, s))
+    monkeypatch.setattr(brown, "fit", lambda *_: m)
+    rows = sorted(((r["doc_id"], r["score"]) for r in brown.score(docs).collect()), key=repr)
+    np.testing.assert_allclose([x[1] for x in rows], [x[1] for x in sorted(want, key=repr)], atol=1e-4)
+
+
+def of(m, number, h):
+    return int(m.classes[number[h]]) if h in number else int(m.pools[h % brown.POOLS])
+
+
 def test_lm_base(docs, texts, none, monkeypatch):
-    monkeypatch.setattr(brown, "UNITS", 200)
-    monkeypatch.setattr(brown, "KNOWN", 500)
+    small_model(monkeypatch)
     tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
     part = lambda d: None if d is None else zlib.crc32(str(d).encode()) % 7
     c = Counter(w for d, t, _ in texts if d is not None and part(d) != 2 for w in tokens(t))
