@@ -38,7 +38,7 @@ ROUNDS, LEAST = 8, 0.0005
 ALPHA, DELTA, PRIOR = 0.1, 0.5, 100.0
 MEMO, PIECE, HELD = 500_000, 1_000_000, 4_000_000
 END = xxhash.xxh64_intdigest(b" ") - (1 << 63)  # no word holds a space
-_SPREAD = 10  # bits of a neighbour's number that share a row before rows are merged
+_SPREAD = 12  # bits of a neighbour's number that share a row before rows are merged
 
 
 class Memo(dict):
@@ -131,28 +131,36 @@ def _frequent(counts: DataFrame, most: int) -> int:
     return 0
 
 
+def _binary(values: np.ndarray, start: np.ndarray) -> pa.Array:
+    """A binary column whose rows are the runs of values from each start to the next one."""
+    offsets = (np.append(start, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all rows of a binary column, and how many each row has."""
+    width = np.dtype(kind).itemsize
+    at = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.binary() else np.int64)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(column) or at[-1] == at[0]:
+        return np.zeros(0, kind), np.zeros(len(column), np.int64)
+    return np.frombuffer(column.buffers()[2], kind, int(at[-1] - at[0]) // width, int(at[0])), np.diff(at) // width
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
 def _packed(unit: np.ndarray, other: np.ndarray, n: np.ndarray, side: int) -> pa.RecordBatch:
     """A row for each unit and part of its neighbours, from triples in order of unit and part."""
-    key = (unit << 32) | (other >> _SPREAD)
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-    other, n = other.astype(np.int32), n.astype(np.int64)
-    ends = np.append(at[1:], len(key)) if len(at) else at
-    rows = [(other[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(unit[at].astype(np.int32)), pa.array(np.full(len(at), side, np.int32)), pa.array((other[at] >> _SPREAD).astype(np.int32)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-        ["unit", "side", "part", "other", "n"],
-    )
+    at = _starts((unit << 32) | (other >> _SPREAD))
+    columns = [pa.array(unit[at].astype(np.int32)), pa.array(np.full(len(at), side, np.int32)), pa.array((other[at] >> _SPREAD).astype(np.int32)), _binary(other.astype(np.int32), at), _binary(n.astype(np.int64), at)]
+    return pa.RecordBatch.from_arrays(columns, ["unit", "side", "part", "other", "n"])
 
 
 _ROWS = "unit int, side int, part int, other binary, n binary"
 
 
-def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers in all rows of a binary column, and how many each row has."""
-    got = [np.frombuffer(x, kind) for x in column.to_pylist()]
-    return np.concatenate(got or [np.zeros(0, kind)]), np.array([len(x) for x in got], dtype=np.int64)
-
-
 def _bigrams(docs: DataFrame, listed: np.ndarray, own: int) -> DataFrame:
     """(unit, after, n_after, before, n_before): all neighbours of each unit with counts, a row for each unit. Unit 0 is the end,
     words come next and pools after UNITS words."""
@@ -202,35 +210,29 @@ def _bigrams(docs: DataFrame, listed: np.ndarray, own: int) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All rows of a unit, given in order, as one."""
-        unit, held = None, []
-
-        def row() -> list:
-            sides = []
-            for s in (0, 1):
-                v = np.concatenate([np.frombuffer(x[1], np.int32) for x in held if x[0] == s] or [np.zeros(0, np.int32)])
-                n = np.concatenate([np.frombuffer(x[2], np.int64) for x in held if x[0] == s] or [np.zeros(0, np.int64)])
-                kinds, at = np.unique(v, return_inverse=True)
-                sides += [kinds.tobytes(), np.bincount(at, n, len(kinds)).astype(np.int64).tobytes()]
-            return [unit, *sides]
-
-        def give(rows: list[list]) -> pa.RecordBatch:
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["unit", "after", "n_after", "before", "n_before"])
-
-        out = []
+        rest = np.zeros((2, 0), np.int64)
+
+        def give(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            code, at = np.unique(code, return_inverse=True)
+            n = np.bincount(at, n, len(code)).astype(np.int64)
+            unit, after = code // (2 * size), code // size % 2 == 0
+            kinds, columns = np.unique(unit), []
+            for side in (after, ~after):
+                at = np.searchsorted(unit[side], kinds)
+                columns += [_binary((code[side] % size).astype(np.int32), at), _binary(n[side], at)]
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), *columns], ["unit", "after", "n_after", "before", "n_before"])
+
         for batch in batches:
-            for u, *x in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
-                if u != unit:
-                    if held:
-                        out.append(row())
-                    unit, held = u, []
-                held.append(x)
-            if len(out) > 500:
-                yield give(out)
-                out = []
-        if held:
-            out.append(row())
-        yield give(out)
+            v, many = _flat(batch.column(3), np.int32)
+            if not len(v):
+                continue
+            head = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            rest = np.concatenate([rest, [np.repeat(head, many) * size + v, _flat(batch.column(4), np.int64)[0]]], axis=1)
+            done = rest[0] // (2 * size) != rest[0, -1] // (2 * size)  # the last unit may go on in the next batch
+            if done.sum() > HELD // 8:
+                yield give(*rest[:, done])
+                rest = rest[:, ~done]
+        yield give(*rest)
 
     rows = docs.select("text").mapInArrow(count, _ROWS)
     rows = rows.repartition("unit", "part").sortWithinPartitions("unit", "part").mapInArrow(merge, _ROWS)
@@ -361,9 +363,8 @@ def _others(docs: DataFrame, listed: np.ndarray, own: int, classes: np.ndarray,
         def give() -> pa.RecordBatch:
             code = np.sort(np.concatenate(held or [np.zeros(0, np.int64)]))
             word, cell = code >> 16, (code & 0xFFFF).astype(np.uint16)
-            at = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, int)
-            ends = np.append(at[1:], len(word)) if len(at) else at
-            return pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), pa.array([cell[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())], ["word", "cells"])
+            at = _starts(word)
+            return pa.RecordBatch.from_arrays([pa.array(word[at].astype(np.int32)), _binary(cell, at)], ["word", "cells"])
 
         for batch in batches:
             for _, h, _ in pieces(batch.column(0)):
