@@ -151,7 +151,29 @@ def test_bpe_joins_are_repaired():
     assert len(bpe.cuts("".join(rng.choice("abcd ") for _ in range(50_000)))) > 20
     shared = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000))
     a, b = "p" * 300 + " " + shared, "q " + shared
-    assert set(x for i, x in bpe.parts(a) if i) & set(x for i, x in bpe.parts(b) if i)
+    assert {a[i:j] for i, j in bpe.parts(a)} & {b[i:j] for i, j in bpe.parts(b)}
+
+
+def test_bpe_windows_widen(monkeypatch):
+    """Joins that are told to disagree are encoded over more and more of the text, with equal ids."""
+    e = bpe.Encoder(bpe.vocabulary())
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choices("abcdefgh.,'é", k=6)) for _ in range(1500))
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    real, seen = bpe.repaired, []
+
+    def refuse(window, before, after):
+        seen.append(1)
+        return None if len(seen) % 7 == 3 else real(window, before, after)
+
+    monkeypatch.setattr(bpe, "repaired", refuse)
+    (n, ids, _), = bpe.encode_texts([text], e)
+    assert [int(x) for x in ids.split()] == want and n == len(want)
+    monkeypatch.setattr(bpe, "repaired", lambda *_: None)
+    (n, ids, _), = bpe.encode_texts([text], e)
+    assert [int(x) for x in ids.split()] == want
+    assert real((3, b" 12 3 4", b" a b c"), (1, b" 1", b" a"), None) is None
+    assert real((3, b" 12 3 4", b" a b c"), (1, b" 12", b" a"), (1, b" 4", b" c")) == (1, b" 3", b" b")
 
 
 def duplicates(texts):
