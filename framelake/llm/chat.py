@@ -50,7 +50,7 @@ def parsed(text: Column) -> Column:
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text): conv_id, formatted, turns as parsed back, and loss_spans, the (start, length) in
-    code points of each assistant text inside formatted."""
+    code points of each assistant text inside formatted, read from formatted by the same grammar."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     plain = F.transform("_rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -62,9 +62,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     convs = convs.withColumn("turns", parsed(F.col("formatted")))
     convs = convs.withColumn("turns", F.when(F.col("turns") == F.col("_plain"), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation doesn't survive its round trip"))))
     spans = F.expr(
-        f"""aggregate(_shown, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)),
-        (s, t) -> named_struct('at', s.at + {len(START) + 1 + len(END)} + length(t.role) + length(t.text),
-          'spans', if(t.role = 'assistant', concat(s.spans, array(named_struct('start', s.at + {len(START) + 1} + length(t.role), 'length', length(t.text)))), s.spans)),
+        rf"""aggregate(split(formatted, r'<\|im_end\|>\n', -1), named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)),
+        (s, p) -> named_struct('at', s.at + length(p) + {len(END)},
+          'spans', if(startswith(p, '{START}assistant\n'), concat(s.spans, array(named_struct('start', s.at + instr(p, '\n'), 'length', length(p) - instr(p, '\n')))), s.spans)),
         s -> s.spans)"""
     )
     return convs.select("conv_id", "formatted", "turns", spans.alias("loss_spans"))

@@ -7,7 +7,8 @@ Tiles may stand in any order, so reordered passages count. A document is contami
 to at least COVERAGE.
 
 Items go to the tasks in blocks of at most about BLOCK_WORDS words; a larger benchmark takes more blocks, not larger ones.
-Items of fewer than MIN_TILE words, null items and null texts match nothing. Repeated rows give repeated results."""
+An item of fewer than
+MIN_TILE words is found only as a whole; items without words, null items and null texts match nothing. Repeated rows give repeated results."""
 
 from __future__ import annotations
 
@@ -27,30 +28,33 @@ HIT = "array<struct<item_id:bigint,coverage:double,n_tiles:int,covered_words:int
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rolling(ids: np.ndarray) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of MIN_TILE word numbers."""
-    n = max(0, len(ids) - MIN_TILE + 1)
+def rolling(ids: np.ndarray, m: int = MIN_TILE) -> np.ndarray:
+    """Karp-Rabin hashes of all windows of m word numbers."""
+    n = max(0, len(ids) - m + 1)
     h = np.zeros(n, dtype=np.uint64)
-    for k in range(MIN_TILE):
+    for k in range(m):
         h = h * _BASE + ids[k : k + n]
     return h
 
 
 def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-    """(place in item, place in doc, length) of the tiles, longest first; ties by place in item, then doc."""
+    """(place in item, place in doc, length) of the tiles, longest first; ties by place in item, then doc. An item shorter
+    than MIN_TILE is a tile as a whole."""
+    if not (m := min(MIN_TILE, len(item))):
+        return []
     places: dict[int, list[int]] = {}
-    for p, h in enumerate(rolling(item).tolist()):
+    for p, h in enumerate(rolling(item, m).tolist()):
         places.setdefault(h, []).append(p)
-    windows = rolling(doc)
+    windows = rolling(doc, m)
     at = np.flatnonzero(np.isin(windows, np.fromiter(places, np.uint64, len(places))))
-    pairs = sorted((t - p, p) for t in at.tolist() for p in places[int(windows[t])] if (item[p : p + MIN_TILE] == doc[t : t + MIN_TILE]).all())
+    pairs = sorted((t - p, p) for t in at.tolist() for p in places[int(windows[t])] if (item[p : p + m] == doc[t : t + m]).all())
     heap: list[tuple[int, int, int]] = []
     for k, (d, p) in enumerate(pairs):
         if k and pairs[k - 1] == (d, p - 1):
             n, p0, d0 = heap[-1]
             heap[-1] = (n - 1, p0, d0)
         else:
-            heap.append((-MIN_TILE, p, d + p))
+            heap.append((-m, p, d + p))
     heapq.heapify(heap)
     in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while heap:
@@ -62,7 +66,7 @@ def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= MIN_TILE:
+            if b - a >= m:
                 heapq.heappush(heap, (a - b, p + a, t + a))
     return out
 
@@ -70,11 +74,14 @@ def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
 def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
     vocabulary: dict[str, int] = {}
     numbered = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], dtype=np.uint64)) for i, words in items]
-    seeds = np.concatenate([rolling(x) for _, x in numbered] or [np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(numbered)), np.array([max(0, len(x) - MIN_TILE + 1) for _, x in numbered], dtype=int))
-    order = np.argsort(seeds, kind="stable")
-    seeds, owner = seeds[order], owner[order]
-    known = np.unique(seeds)
+    by_length = {}  # seeds of items by the length of a seed, which is that of the item where this is shorter than MIN_TILE
+    for m in range(1, MIN_TILE + 1):
+        some = [k for k, (_, x) in enumerate(numbered) if min(MIN_TILE, len(x)) == m]
+        if some:
+            seeds = np.concatenate([rolling(numbered[k][1], m) for k in some])
+            owner = np.repeat(some, [len(numbered[k][1]) - m + 1 for k in some])
+            order = np.argsort(seeds, kind="stable")
+            by_length[m] = seeds[order], owner[order], np.unique(seeds)
 
     @F.pandas_udf(HIT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -83,17 +90,17 @@ def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
             out = []
             for text in texts:
                 doc = np.array([number(w, 0) for w in WORD.findall(text.lower())], dtype=np.uint64) if text else np.zeros(0, np.uint64)
-                windows = rolling(doc)
-                if len(windows) and len(known):
-                    whole = np.convolve(doc == 0, np.ones(MIN_TILE, int), "valid") == 0
-                    windows = np.unique(windows[whole])
+                hits, owners = [], set()
+                for m, (seeds, owner, known) in by_length.items():
+                    windows = rolling(doc, m)
+                    if not len(windows):
+                        continue
+                    windows = np.unique(windows[np.convolve(doc == 0, np.ones(m, int), "valid") == 0])
                     windows = windows[known[np.minimum(np.searchsorted(known, windows), len(known) - 1)] == windows]
-                else:
-                    windows = windows[:0]
-                hits = []
-                if len(windows):
                     lo, hi = np.searchsorted(seeds, windows, "left"), np.searchsorted(seeds, windows, "right")
-                    for k in sorted({int(owner[x]) for a, b in zip(lo, hi, strict=True) for x in range(a, b)}):
+                    owners.update(int(owner[x]) for a, b in zip(lo, hi, strict=True) for x in range(a, b))
+                if owners:
+                    for k in sorted(owners):
                         i, item = numbered[k]
                         got = tiles(item, doc)
                         covered = sum(x[2] for x in got)

@@ -3,7 +3,7 @@
 A text is lower-cased and every run of non-letters becomes one gap; n-grams of one to three characters are hashed to a
 fixed number of buckets. Training counts all n-grams of all labelled texts by (language, bucket), pre-aggregated in each
 task; the matrix of log-probabilities has languages x buckets entries whatever the corpus size, is checked against
-MAX_LANGUAGES, and goes to the tasks in the function's closure. Scoring is a sparse batch product in numpy.
+MAX_LANGUAGES, and is broadcast. Scoring is a sparse product of a batch of texts with it, in numpy.
 
 Null texts and texts without a letter are `und` with score 0, as is every text when nothing was there to learn from.
 Ties go to the language that sorts first. Rows are never dropped, so repeated rows give repeated results."""
@@ -12,18 +12,20 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import remainder, written
+from framelake.llm.common import remainder, scratch, written
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 1024
 PIECE = 1 << 22  # characters hashed at once
 
 _tables: list[np.ndarray] = []
@@ -62,8 +64,17 @@ def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
                 yield (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Log-probabilities of the buckets, and under "" the log-priors, from all rows with a text and a language."""
+@dataclass
+class Model:
+    """Languages in order, log-probabilities of their buckets, and log-priors. An empty string is a language like any other."""
+
+    names: list[str]
+    weights: np.ndarray
+    priors: np.ndarray
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+    """The model of all rows with a text and a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -81,43 +92,46 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "bucket", "n"])
 
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
-    sums = written(rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    if (names := sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
-        raise ValueError(f"{names} languages; at most {MAX_LANGUAGES}")
-    got = sums.toPandas()  # at most languages x buckets rows
+    with scratch(docs.sparkSession):
+        sums = written(rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+        if (names := sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
+            raise ValueError(f"{names} languages; at most {MAX_LANGUAGES}")
+        got = sums.toPandas()  # at most languages x buckets rows
     size = 1 << BUCKET_BITS
-    model: dict[str, np.ndarray] = {}
-    priors = []
-    for name in sorted(got["lang"].unique()):
-        own = got[got["lang"] == name]
-        n = np.zeros(size + 1)
-        n[own["bucket"].to_numpy()] = own["n"].to_numpy()
-        model[name] = np.log((n[:-1] + 0.5) / (n[:-1].sum() + 0.5 * size))
-        priors.append(n[-1])
-    model[""] = np.log(np.array(priors) / max(1.0, sum(priors)))
-    return model
-
-
-def predict(text: Column, model: dict[str, np.ndarray]) -> Column:
+    names = sorted(got["lang"].unique())
+    counts = np.zeros((len(names), size + 1))
+    counts[np.searchsorted(names, got["lang"].to_numpy(dtype=str)) if names else [], got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    texts, grams = counts[:, -1], counts[:, :-1]
+    return Model(names, np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * size)), np.log(texts / max(1.0, texts.sum())))
+
+
+def predict(text: Column, model: Model) -> Column:
     """struct<lang_pred string, score double>; score is the posterior probability of the language."""
-    names = [x for x in model if x]
-    priors, weights = model[""], np.stack([model[x] for x in names]) if names else None
+    shared = SparkContext.getOrCreate().broadcast(model)
+
+    def product(group: list[np.ndarray], m: Model) -> np.ndarray:
+        """Texts x languages: the rows of counts of n-grams times the matrix of log-probabilities, for texts with a letter."""
+        grams = [np.concatenate(list(_grams(c))) for c in group]
+        start = np.cumsum([0, *map(len, grams[:-1])])
+        flat = np.concatenate(grams)
+        return np.stack([np.add.reduceat(w.take(flat), start) for w in m.weights], axis=1) + m.priors
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            codes = _codes(t) if t is not None and weights is not None else ()
-            if not len(codes):
-                out.append(("und", 0.0))
-                continue
-            sums = priors.copy()
-            for g in _grams(codes):
-                for k in range(len(names)):
-                    sums[k] += weights[k].take(g).sum()
-            best = int(np.argmax(sums))
-            out.append((names[best], round(float(1 / np.exp(np.minimum(sums - sums[best], 0)).sum()), 6)))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        m = shared.value
+        names, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        held: list[tuple[int, np.ndarray]] = []
+        for k, t in enumerate([*texts, None]):
+            codes = _codes(t) if t is not None and m.names else ()
+            if len(codes):
+                held.append((k, codes))
+            if held and (k == len(texts) or sum(len(c) for _, c in held[-1:]) > PIECE or len(held) == 200):
+                sums = product([c for _, c in held], m)
+                at = [i for i, _ in held]
+                names[at] = np.array(m.names, dtype=object)[sums.argmax(1)]
+                scores[at] = np.round(1 / np.exp(np.minimum(sums - sums.max(1, keepdims=True), 0)).sum(1), 6)
+                held = []
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return scored(text)
 

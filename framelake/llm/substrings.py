@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from framelake.llm.common import join_hot, maybe_in, scratch, written
 
 MIN_WORDS = 20
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|\n|\Z)[^\S\n]*\n?")
+STOP = re.compile(r"(?:[.!?](?=\s)|\n)[^\S\n]*\n?")  # where a unit ends
 _UNITS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("key", pa.int64()), ("again", pa.bool_()), ("seq", pa.int32())])
 _RUNS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("first_doc_id", pa.int64())])
 
@@ -32,11 +32,13 @@ def split_units(text: str) -> Iterator[tuple[int, int, int, int, bool]]:
     """(start, end, number of words, digest, whether it stood before in this text) of the units, which cover the text
     without gaps; blank ones are left out."""
     seen = set()
-    for m in UNIT.finditer(text):
-        if words := m[0].lower().split():
+    at = 0
+    for end in (*(m.end() for m in STOP.finditer(text)), len(text)):
+        if words := text[at:end].lower().split():
             key = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
-            yield m.start(), m.end(), len(words), key, key in seen
+            yield at, end, len(words), key, key in seen
             seen.add(key)
+        at = end
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

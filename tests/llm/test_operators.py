@@ -70,8 +70,26 @@ def test_language_scores_are_a_naive_bayes(spark):
     size = 1 << langid.BUCKET_BITS
     for k, n in counts.items():
         for b, c in n.items():
-            assert model[k][b] == pytest.approx(math.log((c + 0.5) / (sum(n.values()) + 0.5 * size)))
-    np.testing.assert_allclose(np.exp(model[""]), [2 / 3, 1 / 3])
+            assert model.weights["xy".index(k)][b] == pytest.approx(math.log((c + 0.5) / (sum(n.values()) + 0.5 * size)))
+    np.testing.assert_allclose(np.exp(model.priors), [2 / 3, 1 / 3])
+
+
+def test_language_predictions_by_brute_force(spark):
+    """Each text alone, each n-gram alone; an empty string is a language, ties go to the one that sorts first."""
+    rng = random.Random(6)
+    rows = [(k, "".join(rng.choices("abc " if k % 2 else "bcd ", k=30)), ("", "y")[k % 2]) for k in range(40)] + [(50, "zzz", None), (51, None, "y"), (52, " 1 ", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.names == ["", "y"]
+    for r in df.select("text", langid.predict(F.col("text"), model).alias("p")).collect():
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert tuple(r["p"]) == ("und", 0.0)
+            continue
+        sums = [model.priors[k] + sum(model.weights[k][int(b)] for g in langid._grams(langid._codes(r["text"])) for b in g) for k in (0, 1)]
+        best = max((0, 1), key=lambda k: (sums[k], -k))
+        assert r["p"]["lang_pred"] == model.names[best]
+        assert r["p"]["score"] == pytest.approx(math.exp(sums[best] - max(sums)) / sum(math.exp(x - max(sums)) for x in sums), abs=2e-6)
+    assert langid.identify(df).count() == len(rows)
 
 
 def test_license_base(docs, texts, none):
@@ -256,6 +274,11 @@ def test_substrings(docs, texts, none):
     assert substrings.deduplicate(docs).columns == docs.columns
 
 
+def test_units_of_long_runs_of_stops():
+    units = list(substrings.split_units("." * 300_000 + " a. " + "? ! " * 1000))
+    assert units[0][:2] == (0, 300_001) and len(units) == 2002
+
+
 def test_units_cover_the_text():
     text = "One two. Three!  \n\nfour five\n six? seven"
     units = list(substrings.split_units(text))
@@ -287,7 +310,7 @@ def test_tiles():
     for _ in range(40):
         item, doc = ([rng.randint(1, 3) for _ in range(rng.randint(0, n))] for n in (20, 50))
         got = decontaminate.tiles(np.array(item, dtype=np.uint64), np.array(doc, dtype=np.uint64))
-        assert sum(x[2] for x in got) == sum(x[0] for x in greedy(item, doc, decontaminate.MIN_TILE))
+        assert sum(x[2] for x in got) == sum(x[0] for x in greedy(item, doc, max(1, min(len(item), decontaminate.MIN_TILE))))
 
 
 def test_decontamination(spark, docs, texts, none):
@@ -301,7 +324,7 @@ def test_decontamination(spark, docs, texts, none):
         for i, item in items:
             if len(held & set(item)) < 0.5 * len(set(item)) or len(words) > 2000:
                 continue
-            if len(item) >= decontaminate.MIN_TILE and sum(x[0] for x in greedy(item, words, decontaminate.MIN_TILE)) >= 0.5 * len(item):
+            if item and sum(x[0] for x in greedy(item, words, min(len(item), decontaminate.MIN_TILE))) >= 0.5 * len(item):
                 want.add((d, i))
     assert {x for x in got if x in want} == want and all(x in want or len(dict((d, t) for d, t, _ in texts)[x[0]].split()) > 1500 for x in got)
     text = " ".join(items[0][1])
