@@ -14,7 +14,6 @@ Null texts count as empty: no ids. Every row gives one row."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 CUT_BITS = 9  # chunks of 512 characters on average
 LEAST = 64  # characters of the inner part of a chunk
-MAX_WORDS, MAX_CHUNKS = 400_000, 20_000
+MAX_WORDS, MAX_CHUNKS = 250_000, 10_000
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: letters, then other signs without an apostrophe: one pre-token for either, whatever stands around the word
@@ -220,17 +219,17 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path())
         names = [x.split()[0] for x in schema.split(", ")]
-        gc.freeze()  # the stores hold many small objects, none in a cycle
         for texts in batches:
             out, group, size = [], [], 0
             for t in texts:  # groups of bounded size
                 group.append(t)
                 size += len(t or "")
-                if size > 4_000_000:
+                if size > 2_000_000:
                     out += map(row, encode_texts(group, encoder))
                     group, size = [], 0
             out += map(row, encode_texts(group, encoder))
             yield pd.DataFrame(out, columns=names)
+        encoder.words = {}  # a worker lives on and runs other operators; chunks stay
 
     return run
 
