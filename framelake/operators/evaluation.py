@@ -42,9 +42,10 @@ def frechet(left: DataFrame, right: DataFrame, by: list[str], eps: float = 1e-6)
 def reverse_kl(samples: DataFrame, by: str, x: str, target: str) -> DataFrame:
     """For each group of samples of one target: mean of log q - log p with unit Gaussians around the samples and the target.
     Every sample meets the others of its group, which is the estimator's definition; a group is one prediction's samples."""
-    a, b = samples.select(by, F.col(x).alias("_x"), F.col(target).alias("_t")), samples.select(by, F.col(x).alias("_y"))
+    a = samples.groupBy(by, F.col(x).alias("_x"), F.col(target).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))  # equal samples count each
+    b = samples.select(by, F.col(x).alias("_y"))
     square = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, by).select(by, "_x", "_t", (-0.5 * square("_x", "_y")).alias("_d"))
-    each = pairs.groupBy(by, "_x", "_t").agg(F.max("_d").alias("_m"), F.collect_list("_d").alias("_l"))
+    pairs = a.join(b, by).select(by, "_x", "_t", "_n", (-0.5 * square("_x", "_y")).alias("_d"))
+    each = pairs.groupBy(by, "_x", "_t", "_n").agg(F.max("_d").alias("_m"), F.collect_list("_d").alias("_l"))
     log_q = F.col("_m") + F.log(F.aggregate("_l", F.lit(0.0), lambda s, d: s + F.exp(d - F.col("_m")))) - F.log(F.size("_l"))
-    return each.groupBy(by).agg(F.avg(log_q + 0.5 * square("_x", "_t")).alias("reverse_kl"))
+    return each.groupBy(by).agg((F.sum((log_q + 0.5 * square("_x", "_t")) * F.col("_n")) / F.sum("_n")).alias("reverse_kl"))

@@ -64,8 +64,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, valu
 
 
 def first_prefix_match(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:
-    """Pairs in which one text begins with the other, the first right text for each left one. Both are at least `width`
-    long or equal up to their ends, so equal heads of that length are an equi-join."""
+    """Pairs in which one text begins with the other, the first right text for each left one. Texts of at least
+    `width` meet by an equi-join of their heads; a shorter one meets the heads of its length of all texts on the other side."""
     l, r = left.withColumn("_h", F.substring(a, 1, width)), right.withColumn("_h", F.substring(b, 1, width))
-    hits = l.join(r, "_h").filter(F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a)))
+    long = l.filter(F.length(a) >= width).join(r.filter(F.length(b) >= width), "_h").filter(F.col(a).startswith(F.col(b)) | F.col(b).startswith(F.col(a)))
+    heads = lambda df, c: df.withColumn("_h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.substring(c, 1, k)))).distinct()
+    hits = long.select(a, b)
+    hits = hits.unionAll(l.filter(F.length(a) < width).join(heads(r, b), "_h").select(a, b)).unionAll(r.filter(F.length(b) < width).join(heads(l, a), "_h").select(a, b))
     return hits.groupBy(a).agg(F.min(b).alias(b))

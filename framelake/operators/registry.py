@@ -102,17 +102,19 @@ def conflicts(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def update(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Old rows with the non-null values of new ones."""
-    fresh = new.select(*key, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in key])
+    """Old rows with the non-null values of new ones. Of new rows with one key the largest counts, column by column."""
+    values = [c for c in new.columns if c not in key]
+    fresh = new.groupBy(*key).agg(F.max(F.struct(*values)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(f"_new_{c}") for c in values])
     joined = old.join(fresh, key, "left")
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in new.columns and c not in key else F.col(c) for c in old.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """A row for each key, the new one where there are two. A max_by aggregation keeps one row in the shuffle's map side."""
+    """A row for each key, the new one where there are two; of several new ones the largest, column by column. A max
+    aggregation keeps one row in the shuffle's map side."""
     both = old.withColumn("_rank", F.lit(0)).unionByName(new.withColumn("_rank", F.lit(1)), allowMissingColumns=True)
     cols = [c for c in both.columns if c not in (*key, "_rank")]
-    return both.groupBy(*key).agg(F.max_by(F.struct(*cols), "_rank").alias("_r")).select(*key, "_r.*")
+    return both.groupBy(*key).agg(F.max(F.struct("_rank", *cols)).alias("_r")).select(*key, *[f"_r.{c}" for c in cols])
 
 
 def delete(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

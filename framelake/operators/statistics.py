@@ -75,6 +75,15 @@ def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float,
     return df.filter(F.col(value).between(low, high)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def shared_histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
+    """Counts of all values in bins of equal width between the smallest and the largest one; the last bin is closed. Nulls
+    are left out; where all values are equal there is one bin."""
+    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    at = F.floor((F.col(value) - F.col("_lo")) * bins / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+    b = F.least(F.lit(bins - 1), F.coalesce(at, F.lit(0))).cast("int")
+    return df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def kl_divergence(p: DataFrame, q: DataFrame, key: str, eps: float = 1e-10) -> DataFrame:
     """Of two histograms (key, n), with eps added to each share and shares renormalised over the bins of both."""
     share = lambda df, c: df.withColumn(c, F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).select(key, c)
