@@ -71,7 +71,7 @@ def hand_frames(spark: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", F.round(F.col("c")[0], 6).alias("cx"), F.round(F.col("c")[2], 6).alias("cz"), F.round(F.col("f")[0], 6).alias("fx"), F.round(F.col("u")[0], 6).alias("ux"))
 
 
-@query("G10 G19 G20 P7 X24 X25 F12", f"WITH {_E}, p AS (SELECT vec_id, v, list_concat(v[1:14], list_transform(range(18), lambda x: 0.0::DOUBLE)) AS p FROM e) SELECT vec_id, len(p) AS width, round(list_sum(p), 6) AS total, round(p[7], 6) AS left_grip, round(p[14], 6) AS right_grip, p[32] AS last FROM p")
+@query("G10 G19 G20 X24 X25", f"WITH {_E}, p AS (SELECT vec_id, v, list_concat(v[1:14], list_transform(range(18), lambda x: 0.0::DOUBLE)) AS p FROM e) SELECT vec_id, len(p) AS width, round(list_sum(p), 6) AS total, round(p[7], 6) AS left_grip, round(p[14], 6) AS right_grip, p[32] AS last FROM p")
 def packed_actions(spark: SparkSession, d: str) -> DataFrame:
     left, right = G.unpacked(F.col("v"), [7, 7])
     df = _vectors(spark, d).withColumn("p", G.packed([left, right]))
@@ -79,9 +79,9 @@ def packed_actions(spark: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", F.size("p").cast("long").alias("width"), F.round(total, 6).alias("total"), F.round(F.col("p")[6], 6).alias("left_grip"), F.round(F.col("p")[13], 6).alias("right_grip"), F.col("p")[31].alias("last"))
 
 
-@query("I1 I4 I5 W17 W19", f"WITH {_E}, s AS (SELECT vec_id, v, CAST(i AS INTEGER) AS step, i * 15 / 9.0::DOUBLE AS p FROM e, (SELECT unnest(range(10)) AS i)) SELECT vec_id, step, round(v[CAST(floor(p) AS INTEGER)+1] + (v[least(CAST(floor(p) AS INTEGER)+2, 16)] - v[CAST(floor(p) AS INTEGER)+1]) * (p - floor(p)), 6) AS value FROM s")
+@query("I1 I4", f"WITH {_E}, s AS (SELECT vec_id, v, CAST(i AS INTEGER) AS step, i * 63 / 9.0::DOUBLE AS p FROM e, (SELECT unnest(range(10)) AS i)) SELECT vec_id, step, round(v[CAST(floor(p) AS INTEGER)+1] + (v[least(CAST(floor(p) AS INTEGER)+2, 64)] - v[CAST(floor(p) AS INTEGER)+1]) * (p - floor(p)), 6) AS value FROM s")
 def linear_resample(spark: SparkSession, d: str) -> DataFrame:
-    return _vectors(spark, d).select("vec_id", F.posexplode(I.linear(F.slice("v", 1, 16), 10)).alias("step", "value")).select("vec_id", "step", F.round("value", 6).alias("value"))
+    return _vectors(spark, d).select("vec_id", F.posexplode(I.linear(F.col("v"), 10)).alias("step", "value")).select("vec_id", "step", F.round("value", 6).alias("value"))
 
 
 @query("I2 R13", f"""WITH {_E}, a AS (SELECT vec_id, CAST(i AS INTEGER) AS i, v[i] * 20 AS x FROM e, (SELECT unnest(range(1, 4)) AS i)), d AS (SELECT *, x - lag(x) OVER (PARTITION BY vec_id ORDER BY i) AS dx FROM a),
@@ -102,7 +102,7 @@ def slerp_quarter(spark: SparkSession, d: str) -> DataFrame:
     return df.select("vec_id", *[F.round(F.col("s")[k], 6).alias(n) for k, n in enumerate("wxyz")])
 
 
-@query("N5 Q16 A24 P6", f"WITH {_E}, p AS (SELECT vec_id, CAST(k AS INTEGER) AS k, list_sum(list_transform(range(1, 65), lambda i: v[i] * cos(0.37 * i * (k + 1)))) AS x FROM e, (SELECT unnest(range(4)) AS k)), n AS (SELECT *, sqrt(sum(x*x) OVER (PARTITION BY vec_id)) AS n FROM p) SELECT vec_id, k, round(x / n, 6) AS x FROM n")
+@query("Q16 A24 P6", f"WITH {_E}, p AS (SELECT vec_id, CAST(k AS INTEGER) AS k, list_sum(list_transform(range(1, 65), lambda i: v[i] * cos(0.37 * i * (k + 1)))) AS x FROM e, (SELECT unnest(range(4)) AS k)), n AS (SELECT *, sqrt(sum(x*x) OVER (PARTITION BY vec_id)) AS n FROM p) SELECT vec_id, k, round(x / n, 6) AS x FROM n")
 def projected_latents(spark: SparkSession, d: str) -> DataFrame:
     """A fixed projection to four numbers, then unit length."""
     one = lambda k: F.aggregate(F.transform("v", lambda x, i: x * F.cos(0.37 * (i + 1) * (k + 1))), F.lit(0.0), lambda s, x: s + x)
@@ -126,7 +126,7 @@ def robot_action_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _summary(E.action_chunks(_poses(spark, d), E.pipeline("eva", "cartesian_wristframe_6d")))
 
 
-@query("B4 B5 F9 B12")
+@query("B4 B5")
 def human_action_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _summary(E.action_chunks(_poses(spark, d), E.pipeline("aria", "cartesian_6d")))
 

@@ -88,7 +88,7 @@ def _new(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(load(spark, d, "pages").selectExpr("'new-' || CAST(page_id AS STRING) AS episode_hash", "'fresh' AS task", "-page_id - 1 AS doc_id"))
 
 
-@query("K9 K17 K18 R2 U6", f"WITH {REGISTRY_SQL}, fresh AS ({_NEW}) SELECT episode_hash, task, doc_id FROM fresh UNION ALL SELECT episode_hash, task, doc_id FROM registry WHERE episode_hash NOT IN (SELECT episode_hash FROM fresh)")
+@query("K9 K17 K18 U6", f"WITH {REGISTRY_SQL}, fresh AS ({_NEW}) SELECT episode_hash, task, doc_id FROM fresh UNION ALL SELECT episode_hash, task, doc_id FROM registry WHERE episode_hash NOT IN (SELECT episode_hash FROM fresh)")
 def registry_upsert(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(registry(spark, d).select("episode_hash", "task", "doc_id"), _new(spark, d), ["episode_hash"])
 
@@ -113,13 +113,13 @@ def registry_soft_delete(spark: SparkSession, d: str) -> DataFrame:
     return R.soft_delete_blank(registry(spark, d), "zarr_processed_path").select("episode_hash", "is_deleted", "changed")
 
 
-@query("K12 K13 R6", f"WITH {REGISTRY_SQL} SELECT episode_hash, CASE WHEN coalesce(is_deleted, FALSE) THEN '' ELSE zarr_processed_path END AS zarr_processed_path, '' AS zarr_mp4_path FROM registry")
+@query("K12 K13", f"WITH {REGISTRY_SQL} SELECT episode_hash, CASE WHEN coalesce(is_deleted, FALSE) THEN '' ELSE zarr_processed_path END AS zarr_processed_path, '' AS zarr_mp4_path FROM registry")
 def registry_reset_and_migrate(spark: SparkSession, d: str) -> DataFrame:
     df = R.add_columns(registry(spark, d), {"zarr_mp4_path": "", "task": "never used"})
     return R.reset(df, ["zarr_processed_path"], F.coalesce("is_deleted", F.lit(False))).select("episode_hash", "zarr_processed_path", "zarr_mp4_path")
 
 
-@query("J1 U4 K21 K23 J16 J5 J14 S11 R7", f"""WITH {REGISTRY_SQL}, r AS (SELECT DISTINCT operator || '/' || task AS prefix FROM registry WHERE {_LIVE}), f AS (SELECT DISTINCT source || '/' || lang AS prefix FROM documents WHERE doc_id % 2 = 0)
+@query("J1 U4 K21 K23 J16 J5 J14 S11", f"""WITH {REGISTRY_SQL}, r AS (SELECT DISTINCT operator || '/' || task AS prefix FROM registry WHERE {_LIVE}), f AS (SELECT DISTINCT source || '/' || lang AS prefix FROM documents WHERE doc_id % 2 = 0)
 SELECT coalesce(r.prefix, f.prefix) AS prefix, CASE WHEN f.prefix IS NULL THEN 'missing' WHEN r.prefix IS NULL THEN 'orphan' ELSE 'matched' END AS state FROM r FULL JOIN f ON r.prefix = f.prefix""")
 def reconcile_prefixes(spark: SparkSession, d: str) -> DataFrame:
     required = R.where_all(registry(spark, d), []).select(F.concat_ws("/", "operator", "task").alias("prefix"))
@@ -161,7 +161,7 @@ def chain_lookup(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.coalesce("direct", "r_name").alias("model"))
 
 
-@query("U1 U5 S21", f"""WITH {REGISTRY_SQL}, p AS (SELECT doc_id, 0 AS part FROM registry WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM registry WHERE doc_id % 3 = 0) SELECT doc_id, min(part) AS part FROM p GROUP BY doc_id""")
+@query("U1 U5", f"""WITH {REGISTRY_SQL}, p AS (SELECT doc_id, 0 AS part FROM registry WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM registry WHERE doc_id % 3 = 0) SELECT doc_id, min(part) AS part FROM p GROUP BY doc_id""")
 def union_first_wins(spark: SparkSession, d: str) -> DataFrame:
     df = registry(spark, d).select("doc_id")
     return R.first_wins([df.filter("doc_id % 2 = 0"), df.filter("doc_id % 3 = 0")], "doc_id")

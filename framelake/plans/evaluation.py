@@ -38,13 +38,13 @@ def reverse_kl(spark: SparkSession, d: str) -> DataFrame:
     return V.reverse_kl(df, "g", "x", "target").select("g", F.round("reverse_kl", 6).alias("reverse_kl"))
 
 
-@query("E5 A27 P9", """SELECT user_id AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY user_id HAVING (user_id + 1) % 10 = 0""")
+@query("E5", """SELECT user_id AS epoch, count(*) AS n, round(avg(value), 6) AS loss FROM events GROUP BY user_id HAVING (user_id + 1) % 10 = 0""")
 def metrics_by_cadence(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events").filter((F.col("user_id") + 1) % 10 == 0)
     return df.groupBy(F.col("user_id").alias("epoch")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("loss"))
 
 
-@query("X19 X21 X23 R16 R22", """WITH r AS (SELECT event_id, CAST(user_id AS STRING) AS a, event_type AS b, CAST(json_extract_string(props, '$.k') AS STRING) AS c FROM events) SELECT event_id, unnest(['who.user_id', 'what.kind.name', 'what.k']) AS path, unnest([a, b, c]) AS value FROM r""")
+@query("X21 X23 R16", """WITH r AS (SELECT event_id, CAST(user_id AS STRING) AS a, event_type AS b, CAST(json_extract_string(props, '$.k') AS STRING) AS c FROM events) SELECT event_id, unnest(['who.user_id', 'what.kind.name', 'what.k']) AS path, unnest([a, b, c]) AS value FROM r""")
 def flattened_records(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events").select(
         "event_id", F.struct("user_id").alias("who"), F.struct(F.struct(F.col("event_type").alias("name")).alias("kind"), F.get_json_object("props", "$.k").alias("k")).alias("what")
@@ -52,7 +52,7 @@ def flattened_records(spark: SparkSession, d: str) -> DataFrame:
     return N.flattened(df, ["event_id"])
 
 
-@query("B3 B6 B9 G10")
+@query("B3 G10")
 def reverted_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks seen from the wrist, taken back to the camera's frame."""
     chunks = E.action_chunks(_poses(spark, d), E.pipeline("eva", "cartesian_wristframe_6d"))
@@ -60,27 +60,27 @@ def reverted_chunks(spark: SparkSession, d: str) -> DataFrame:
     return back.select("episode", "t", F.size("reverted").alias("steps"), F.size(F.col("reverted")[0]).alias("width"), F.round(F.col("reverted")[0][0], 4).alias("x"))
 
 
-@query("S17 T19 K4", f"""WITH {FRAMES_SQL}, r AS (SELECT episode, t, value, row_number() OVER (PARTITION BY episode ORDER BY value DESC, t) AS r FROM frames WHERE value < 100) SELECT episode, t, value FROM r WHERE r = 1""")
+@query("T1", f"""WITH {FRAMES_SQL}, r AS (SELECT episode, t, value, row_number() OVER (PARTITION BY episode ORDER BY value DESC, t) AS r FROM frames WHERE value < 100) SELECT episode, t, value FROM r WHERE r = 1""")
 def probe_frames(spark: SparkSession, d: str) -> DataFrame:
     best = R.top_rows(frames(spark, d).filter("value < 100"), ["episode"], [F.desc("value"), F.col("t")], 1)
     return best.select("episode", "t", "value")
 
 
-@query("R30 K2 K5", """SELECT conv_id, turn, reverse(substr(text, 1, 12)) AS text FROM conversations WHERE conv_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0)""")
+@query("R30", """SELECT conv_id, turn, turn || ' ' || reverse(text) AS text FROM conversations WHERE conv_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0)""")
 def annotation_bucket_etl(spark: SparkSession, d: str) -> DataFrame:
-    """Transforms only what isn't there yet."""
+    """Transforms whole texts, and only those that aren't there yet."""
     there = load(spark, d, "embeddings").filter("vec_id % 4 = 0").select(F.col("vec_id").alias("conv_id"))
-    return R.choose(load(spark, d, "conversations"), "conv_id", exclude=[there]).select("conv_id", "turn", F.reverse(F.substring("text", 1, 12)).alias("text"))
+    return R.choose(load(spark, d, "conversations"), "conv_id", exclude=[there]).select("conv_id", "turn", F.concat(F.col("turn").cast("string"), F.lit(" "), F.reverse("text")).alias("text"))
 
 
 @query("R30", """SELECT conv_id, turn, reverse(text) AS text FROM conversations WHERE conv_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 0)""")
 def annotation_text_etl(spark: SparkSession, d: str) -> DataFrame:
-    """annotation_bucket_etl over whole texts."""
+    """Texts as they are, turned round."""
     there = load(spark, d, "embeddings").filter("vec_id % 4 = 0").select(F.col("vec_id").alias("conv_id"))
     return R.choose(load(spark, d, "conversations"), "conv_id", exclude=[there]).select("conv_id", "turn", F.reverse("text").alias("text"))
 
 
-@query("S36 S20 S4 S10", """SELECT user_id, round(var_samp(value), 4) AS spread, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING count(*) > 10""")
+@query("F2", """SELECT user_id, round(var_samp(value), 4) AS spread, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING count(*) > 10""")
 def trajectory_scan(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "events").filter("event_type <> 'error'")
     return df.groupBy("user_id").agg(F.round(F.var_samp("value"), 4).alias("spread"), F.count(F.lit(1)).alias("n")).filter("n > 10")

@@ -98,7 +98,7 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).select("episode", "t", F.round(F.avg("value").over(W.over().rowsBetween(-4, 0)), 6).alias("rolling"))
 
 
-@query("W16 U8 A16", f"""WITH {FRAMES_SQL}, n AS (SELECT episode, count(*) AS n FROM frames GROUP BY episode) SELECT episode, n, CAST(sum(n) OVER (ORDER BY episode) - n AS BIGINT) AS first_row FROM n""")
+@query("W16 A16", f"""WITH {FRAMES_SQL}, n AS (SELECT episode, count(*) AS n FROM frames GROUP BY episode) SELECT episode, n, CAST(sum(n) OVER (ORDER BY episode) - n AS BIGINT) AS first_row FROM n""")
 def episode_offsets(spark: SparkSession, d: str) -> DataFrame:
     sizes = frames(spark, d).groupBy("episode").agg(F.count(F.lit(1)).alias("n"))
     return S.running_offset(sizes, "episode", "n", "first_row")
@@ -159,7 +159,7 @@ def common_frames(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).groupBy("episode").agg(F.least(n("view"), n("click"), n("error")).alias("common_frames"))
 
 
-@query("A10 A11 R20 Q3", f"""WITH {FRAMES_SQL}, z AS (SELECT episode, count(*) AS n, count(DISTINCT t) FILTER (value < 2) AS zeros FROM frames GROUP BY episode), s AS (SELECT episode, n, zeros, round(zeros / n, 6) AS share, CASE WHEN zeros / n > 0.05 THEN 'failed' ELSE 'ok' END AS status FROM z)
+@query("A10 A11 R20", f"""WITH {FRAMES_SQL}, z AS (SELECT episode, count(*) AS n, count(DISTINCT t) FILTER (value < 2) AS zeros FROM frames GROUP BY episode), s AS (SELECT episode, n, zeros, round(zeros / n, 6) AS share, CASE WHEN zeros / n > 0.05 THEN 'failed' ELSE 'ok' END AS status FROM z)
 SELECT status, count(*) AS n, round(avg(share), 6) AS mean, round(median(share), 6) AS median, max(share) AS max FROM s GROUP BY status""")
 def zero_frame_health(spark: SparkSession, d: str) -> DataFrame:
     share = F.round(F.countDistinct(F.when(F.col("value") < 2, F.col("t"))) / F.count(F.lit(1)), 6)

@@ -70,7 +70,7 @@ def frame_blocks(spark: SparkSession, d: str) -> DataFrame:
     return df.select("user_id", F.md5("block").alias("block"), F.substr(F.col("block"), start + 1, F.col("sizes")[2]).alias("third"))
 
 
-@query("F9 F10 F11 F13 F14 F15", """WITH k AS (SELECT event_type AS key_name, CASE WHEN event_type = 'view' THEN 'camera_keys' WHEN event_type = 'error' THEN 'annotation_keys' ELSE 'action_keys' END AS key_type, 'obs.' || event_type AS zarr_key, user_id % 3 AS embodiment FROM events)
+@query("F10 F15", """WITH k AS (SELECT event_type AS key_name, CASE WHEN event_type = 'view' THEN 'camera_keys' WHEN event_type = 'error' THEN 'annotation_keys' ELSE 'action_keys' END AS key_type, 'obs.' || event_type AS zarr_key, user_id % 3 AS embodiment FROM events)
 SELECT embodiment, key_name, key_type, zarr_key, count(*) AS n FROM k WHERE key_type NOT IN ('camera_keys', 'annotation_keys') GROUP BY ALL""")
 def schematic_keys(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "camera_keys").when(F.col("event_type") == "error", "annotation_keys").otherwise("action_keys")
@@ -94,7 +94,7 @@ def cached_or_computed(spark: SparkSession, d: str) -> DataFrame:
     return fresh.join(cache, "episode", "left").select("episode", F.coalesce(good, "n").alias("total"), good.isNotNull().alias("hit"))
 
 
-@query("K19 K20 X10", f"""WITH {REGISTRY_SQL} SELECT CASE WHEN lower(zarr_processing_error) LIKE '%out of memory%' THEN 'oom' WHEN zarr_processing_error <> '' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(num_frames) AS BIGINT) AS frames FROM registry GROUP BY 1""")
+@query("K19 X10", f"""WITH {REGISTRY_SQL} SELECT CASE WHEN lower(zarr_processing_error) LIKE '%out of memory%' THEN 'oom' WHEN zarr_processing_error <> '' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n, CAST(sum(num_frames) AS BIGINT) AS frames FROM registry GROUP BY 1""")
 def conversion_summary(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("zarr_processing_error")
     status = F.when(X.is_out_of_memory(e), "oom").when(R.present(e).isNotNull(), "failed").otherwise("ok")

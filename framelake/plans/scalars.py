@@ -63,15 +63,15 @@ def annotation_times(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "turn", X.frame_of_micros(F.col("us"), 30).alias("frame"), start.alias("start_us"), end.alias("end_us")).filter("end_us > start_us")
 
 
-@query("X27 X28 X29 X30 P8", """WITH s AS (SELECT vec_id, lower(CASE WHEN vec_id % 3 = 0 THEN 'ARIA BIMANUAL' ELSE 'EVA LEFT ARM' END) AS emb, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE array_to_string(list_transform(embedding[1:4], lambda x: CAST(least(255, floor((greatest(-1.0, least(1.0, x::DOUBLE)) + 1) * 128))::BIGINT AS STRING)), ' ') END AS state FROM embeddings)
+@query("X27 X28 X29 P8", """WITH s AS (SELECT vec_id, lower(CASE WHEN vec_id % 3 = 0 THEN 'ARIA BIMANUAL' ELSE 'EVA LEFT ARM' END) AS emb, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE array_to_string(list_transform(embedding, lambda x: CAST(least(255, floor((greatest(-1.0, least(1.0, x::DOUBLE)) + 1) * 128))::BIGINT AS STRING)), ' ') END AS state FROM embeddings)
 SELECT vec_id, 'Task: sort, Embodiment: ' || emb || ', Control mode: ' || CASE WHEN emb LIKE '%aria%' THEN 'cam frame xyzypr per arm' ELSE 'joint' END || CASE WHEN state IS NULL THEN '' ELSE ', State: ' || state END || ';' || chr(10) || 'Action: ' AS prompt FROM s""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     emb = F.when(F.col("vec_id") % 3 == 0, "aria bimanual").otherwise("eva left arm")
-    state = F.when(F.col("vec_id") % 5 != 0, X.state_bins(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))))
+    state = F.when(F.col("vec_id") % 5 != 0, X.state_bins(F.transform("embedding", lambda x: x.cast("double"))))
     return load(spark, d, "embeddings").select("vec_id", X.prompt(F.lit("sort"), emb, X.control_mode(emb, [("EVA", "joint")]), state).alias("prompt"))
 
 
-@query("X26 K24 X32", """SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN 'B' WHEN o_totalprice < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM orders""")
+@query("X26 X32", """SELECT o_orderkey, CASE WHEN o_totalprice < 1024 THEN 'B' WHEN o_totalprice < 1048576 THEN 'KB' ELSE 'MB' END AS unit FROM orders""")
 def size_labels(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", F.element_at(F.split(X.size_text(F.col("o_totalprice")), " "), 2).alias("unit"))
 
@@ -81,16 +81,14 @@ def digests(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("operator_hash"), F.md5("html").alias("checksum"), F.col("url").rlike("^https?://[a-z.]+/(en|fr)/[0-9]+").alias("valid"))
 
 
-@query("X37 X22 U7", """WITH a AS (SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id)
+@query("A6", """WITH a AS (SELECT conv_id, count(*) FILTER (role = 'user') AS users, count(*) AS n, max(turn) AS last FROM conversations GROUP BY conv_id)
 SELECT conv_id, users, n - users AS others, last FROM a WHERE n > 2""")
 def attribute_maps(spark: SparkSession, d: str) -> DataFrame:
-    turns = F.collect_list(F.struct("turn", "role"))
-    df = load(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("a")).filter(F.size("a") > 2)
-    n = lambda role: F.size(F.filter("a", lambda x: x["role"] == role)).cast("long")
-    return df.select("conv_id", n("user").alias("users"), (F.size("a") - n("user")).alias("others"), F.array_max(F.transform("a", lambda x: x["turn"])).alias("last"))
+    counts = load(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
+    return counts.filter("n > 2").select("conv_id", "users", (F.col("n") - F.col("users")).alias("others"), "last")
 
 
-@query("S22 S25 S32", """SELECT doc_id, split_part(name, '_', 2) AS episode, label FROM (SELECT doc_id, 'ep_' || CAST(doc_id AS STRING) || '_meta.csv' AS name, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END, source) AS label FROM documents)""")
+@query("S22", """SELECT doc_id, split_part(name, '_', 2) AS episode, label FROM (SELECT doc_id, 'ep_' || CAST(doc_id AS STRING) || '_meta.csv' AS name, coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END, source) AS label FROM documents)""")
 def companion_names(spark: SparkSession, d: str) -> DataFrame:
     df = load(spark, d, "documents").selectExpr("doc_id", "'ep_' || CAST(doc_id AS STRING) || '_meta.csv' AS name", "CASE WHEN doc_id % 4 <> 0 THEN lang END AS label", "source")
     return df.select("doc_id", F.try_element_at(F.split("name", "_"), F.lit(2)).alias("episode"), F.coalesce("label", "source").alias("label"))
