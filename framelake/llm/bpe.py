@@ -7,7 +7,7 @@ between two such parts is a join. It is repaired by encoding a window of the tex
 before and the first word of the part after it: the window's ids must begin and end with the ids that these words have in
 their parts. Where they don't, the window widens on both sides, up to the whole text, until they agree.
 
-Stores are bounded: beyond their size they start afresh. There is no shuffle: a global dictionary of chunks would move the
+Stores are bounded: beyond their size chunks start afresh, and words that the texts at hand don't hold go. There is no shuffle: a global dictionary of chunks would move the
 whole text and all ids. The vocabulary must be one whose decoder joins tokens by a space, as that of word_bpe_49k.json does.
 
 Null texts count as empty: no ids. Every row gives one row."""
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 CUT_BITS = 9  # chunks of 512 characters on average
 LEAST = 64  # characters of the inner part of a chunk
-MAX_WORDS, MAX_CHUNKS = 250_000, 10_000
+MAX_WORDS, MAX_CHUNKS = 80_000, 5_000
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: letters, then other signs without an apostrophe: one pre-token for either, whatever stands around the word
@@ -79,8 +79,8 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, plain ones in lines of many: the ends of their pre-tokens tell them apart."""
-        if len(self.words) > MAX_WORDS:
-            self.words = {}
+        if len(self.words) > MAX_WORDS:  # those of the texts at hand stay
+            self.words = {w: x for w in words if (x := self.words.get(w))}
         new = [w for w in words if w not in self.words]
         plain = [(w, 1 + bool(m[2])) for w in new if (m := PLAIN.fullmatch(w))]
         for at in range(0, len(plain), 20_000):
@@ -224,7 +224,7 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) ->
             for t in texts:  # groups of bounded size
                 group.append(t)
                 size += len(t or "")
-                if size > 2_000_000:
+                if size > 1_000_000:
                     out += map(row, encode_texts(group, encoder))
                     group, size = [], 0
             out += map(row, encode_texts(group, encoder))

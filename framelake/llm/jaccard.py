@@ -32,7 +32,7 @@ from framelake.llm.common import components, join_hot, joined_rows, scratch, wri
 WORDS, PERCENT = 5, 80
 SKETCH = 1 << 22
 FILTER = 1 << 23  # bits of the filter on ids before texts are read again
-MEMO = 300_000
+MEMO = 200_000
 HOT = 32  # classes of a column from which its sets are multiplied in parts
 BLOCK, ELEMENTS = 512, 4_000_000  # sets and shingles in a part, about at most
 LEADERS, TURNS = 64, 4
@@ -90,7 +90,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, s in _sets(batch):
             found.append(s & np.uint64(SKETCH - 1))
             rows.append((d, len(s), digest(s) if len(s) else None))
-        sketch += np.bincount(np.concatenate(found).astype(np.int64), minlength=SKETCH).astype(np.int32)
+        np.add.at(sketch, np.concatenate(found).astype(np.int64), np.int32(1))
         a, n, x = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array([0] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(x, pa.int64())], names)
     at = np.flatnonzero(sketch >= 6 + 3 * sketch.mean())
