@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import written
+from framelake.llm.common import scratch, written
 
 BUCKETS, LABELS, SMOOTH = 1 << 16, 50_000, 1.0
 MEMO, BINS, FEW = 300_000, 4096, 10_000
@@ -104,6 +104,11 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float:
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality, toxic): doc_id, log_weight, key, selected."""
+    with scratch(docs.sparkSession):
+        return written(_resampled(docs, labels, seed), keep=True)
+
+
+def _resampled(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("fine"), (F.max(F.coalesce("toxic", F.lit(0))) == 0).alias("clean"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS).toPandas()
     share = float((known["fine"] & known["clean"]).mean()) if len(known) else 1.0

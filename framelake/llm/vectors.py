@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import components, join_hot, joined_rows, written
+from framelake.llm.common import components, join_hot, joined_rows, scratch, written
 
 THRESHOLD, RECALL = 0.9, 0.999
 K, ORDERS, DESCENTS, SEARCHES = 6, 8, 3, 4
@@ -297,6 +297,11 @@ def _counted(vectors: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_vectors(table: DataFrame) -> DataFrame:
     """table (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    with scratch(table.sparkSession):
+        return written(_near_vectors(table), keep=True)
+
+
+def _near_vectors(table: DataFrame) -> DataFrame:
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = written(rows.mapInArrow(_unit, "vec_id long, unit binary, digest long"))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("vec_id", "unit")).alias("m"), F.count(F.lit(1)).alias("copies"))

@@ -436,6 +436,31 @@ def test_importance(spark, docs, none):
     assert all(r["selected"] for r in importance.resample(docs, labels.limit(0)).collect())
 
 
+def test_importance_by_brute_force(spark):
+    """Weights one n-gram at a time, and the draw by sorting; labels repeat, clash in their columns and tie."""
+    rng = random.Random(9)
+    texts = {k: " ".join(rng.choices(["a", "b", "c", "dd"] if k % 2 else ["b", "e", "f"], k=rng.randint(0, 30))) for k in range(60)}
+    rows = [(k, 1 if k % 2 else 0, 1 if k % 10 == 1 else 0, "x") for k in range(0, 40)] + [(1, 0, 0, "x"), (3, 1, 0, "y"), (None, 1, 0, "z"), (4, None, 1, "z")]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "doc_id long, text string, quality int")
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
+    known = {k: (max(q for d, q, *_ in rows if d == k and q is not None), max(t for d, q, t, _ in rows if d == k and q is not None)) for k in range(40)}
+    good = {k for k, (q, t) in known.items() if q == 1 and t == 0}
+    h = lambda w: importance._memo[w]
+    mask = (1 << 64) - 1
+
+    def grams(t):
+        w = [h(x) for x in t.split()]
+        return [x >> 48 for x in w] + [((a * 0x9E3779B97F4A7C15 & mask) ^ (b * 0xC2B2AE3D27D4EB4F & mask)) >> 48 for a, b in zip(w, w[1:], strict=False)]
+
+    raw, target = (Counter(g for k, t in texts.items() if k in keep for g in grams(t)) for keep in (texts, good))
+    share = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + importance.BUCKETS))
+    got = importance.resample(docs, labels).collect()
+    for r in got:
+        assert r["log_weight"] == pytest.approx(sum(share(target, g) - share(raw, g) for g in grams(texts[r["doc_id"]])), abs=1e-9)
+    k = round(len(good) / len(known) * len(texts))
+    assert {r["doc_id"] for r in got if r["selected"]} == {r["doc_id"] for r in sorted(got, key=lambda r: -r["key"])[:k]}
+
+
 def test_kth_largest(spark):
     values = [random.Random(2).gauss(0, 1) * 10 ** (k % 5) for k in range(30_000)]
     df = common.written(spark.createDataFrame([(v,) for v in values], "x double"))
