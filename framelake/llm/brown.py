@@ -1,7 +1,7 @@
 """Operator 10, LM scoring with a Brown class-based bigram model.
 
 A token's probability is P(class | class before) * P(token | class). All training texts are counted whole: token counts, and
-bigrams of units. A unit is one of the UNITS most frequent words, one of POOLS pools of the other words, or the end of a text,
+bigrams of units. A unit is one of the UNITS most frequent words that were seen over FEW times, one of POOLS pools of the other words, or the end of a text,
 so that every bigram counts while their table stays bounded by the square of the number of units; a row of it holds the
 neighbours of a unit. Exchange clustering starts from classes dealt by frequency. In each round the exact gain in likelihood
 of moving a unit to each class is computed in tasks, one row of the table at a time; the units with a gain move together. A
@@ -9,7 +9,8 @@ round is kept only if the likelihood of all bigrams grew, else the strongest qua
 never falls. Rounds end when it grows by less than LEAST of itself, or after ROUNDS.
 
 The KNOWN most frequent words beyond the units then get the class that makes what stands around them in the training texts
-likeliest, and class bigrams are counted again with these classes. Words beyond KNOWN share the classes of their pools.
+likeliest, and class bigrams are counted again with these classes. Words beyond KNOWN, and those
+seen at most FEW times, share the classes of their pools, as words do that were never seen.
 
 Words are compared by 64-bit hashes. Tasks know the counts of the KNOWN most frequent words; other words of a text are kept
 with its row and joined with the table of all counts. Class bigrams are smoothed by PRIOR times the classes' own shares,
@@ -34,8 +35,9 @@ from framelake.llm.common import remainder, scratch, written
 
 UNITS, POOLS, CLASSES = 1 << 14, 1 << 9, 64
 KNOWN = 1 << 20
+FEW = 2  # words seen no more often have no class of their own
 ROUNDS, LEAST = 8, 0.0005
-ALPHA, DELTA, PRIOR = 0.1, 0.5, 100.0
+ALPHA, DELTA, PRIOR = 0.1, 0.5, 300.0
 MEMO, PIECE, HELD = 500_000, 1_000_000, 4_000_000
 END = xxhash.xxh64_intdigest(b" ") - (1 << 63)  # no word holds a space
 _SPREAD = 12  # bits of a neighbour's number that share a row before rows are merged
@@ -347,8 +349,8 @@ def cluster(bigrams: DataFrame, seen: Callable[[float], None] = lambda x: None)
     return classes
 
 
-def _others(docs: DataFrame, listed: np.ndarray, own: int, classes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of all listed words, and class bigrams counted with them. Each word that isn't a unit takes the class that is
+def _others(docs: DataFrame, listed: np.ndarray, own: int, many: int, classes: np.ndarray, table: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all listed words, and class bigrams counted with them. Each of the first `many` words that isn't a unit takes the class that is
     likeliest given the classes around it; bigrams of words beyond the list go by their pools. sizes: words in each class."""
     shared = docs.sparkSession.sparkContext.broadcast((listed, classes))
     known, none = len(listed), CLASSES
@@ -372,7 +374,7 @@ def _others(docs: DataFrame, listed: np.ndarray, own: int, classes: np.ndarray,
                 end, unit = h == END, (k >= 0) & (k < own)
                 c = classes[np.where(unit, k + 1, UNITS + 1 + pool(h))]
                 c[end] = 0
-                word = np.where(k >= own, k, known + pool(h))
+                word = np.where((k >= own) & (k < many), k, known + pool(h))
                 at = np.flatnonzero(~(unit | end))
                 after = np.where((unit | end)[np.minimum(at + 1, len(h) - 1)], c[np.minimum(at + 1, len(h) - 1)], none)
                 held.append(word[at] << 16 | np.append(0, c[:-1])[at] << 8 | after)
@@ -420,7 +422,7 @@ def _others(docs: DataFrame, listed: np.ndarray, own: int, classes: np.ndarray,
     found = rows.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word int, c long")
     got = found.groupBy("word").agg(F.sum("c").alias("c")).toArrow()  # a row for each listed word and class pair
     word, c = got.column(0).to_numpy(), got.column(1).to_numpy()
-    of_word = np.concatenate([classes[1 : own + 1], np.ones(known - own, np.int64)])
+    of_word = np.concatenate([classes[1 : own + 1], classes[UNITS + 1 + pool(listed[own:])]])
     of_word[word[word >= 0]] = c[word >= 0]
     more = np.zeros(CLASSES * CLASSES)
     more[-1 - word[word < 0]] = c[word < 0]
@@ -452,12 +454,12 @@ def fit(train: DataFrame, counts: DataFrame) -> Model:
     listed, seen = words.column(0).to_numpy(), words.column(1).to_numpy()
     order = np.lexsort((listed, -seen))
     listed, seen = listed[order], seen[order]
-    own = int((seen > cut[UNITS]).sum())
+    own, many = (int((seen > max(FEW, x)).sum()) for x in (cut[UNITS], 0))
     bigrams = written(_bigrams(train, listed, own))
     classes = cluster(bigrams)
     pools = classes[UNITS + 1 :]
     sizes = np.bincount(classes[1 : own + 1], seen[:own], CLASSES)
-    of_word, more = _others(train, listed, own, classes, _table(bigrams, classes), sizes)
+    of_word, more = _others(train, listed, own, many, classes, _table(bigrams, classes), sizes)
     table = _table(bigrams, classes, words_only=True) + more
     # words and distinct words of each class
     kinds_in, words_in = np.bincount(of_word, minlength=CLASSES).astype(float), np.bincount(of_word, seen, CLASSES)

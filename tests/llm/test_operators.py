@@ -369,7 +369,7 @@ def test_lm_score_by_brute_force(spark, docs, texts, monkeypatch):
     n = {r["word"]: r["n"] for r in counts.collect()}
     number = {int(h): k for k, h in enumerate(m.listed)}
     words = lambda t: [brown._memo[w] for w in (t or "").encode().lower().split()]
-    own = int((m.seen > brown._frequent(counts, brown.UNITS)).sum())
+    own = int((m.seen > max(brown.FEW, brown._frequent(counts, brown.UNITS))).sum())
     unit = lambda h: 0 if h == brown.END else number[h] + 1 if number.get(h, own) < own else brown.UNITS + 1 + h % brown.POOLS
     pairs = Counter()
     for r in train.collect():
