@@ -50,3 +50,8 @@ def declared_widths(df: DataFrame) -> DataFrame:
     kind = lambda t: "image" if t == "binary" else "numeric" if t.startswith("array<") and "string" not in t else "annotation" if "struct" in t or "string" in t else "scalar"
     spark = df.sparkSession
     return spark.createDataFrame([(c, t, kind(t)) for c, t in df.dtypes], "column string, type string, kind string")
+
+
+def rate(violated: Column) -> Column:
+    """Percent of rows that are violated; null of no rows, and a row that can't be checked counts as good."""
+    return F.round(100.0 * F.avg(F.when(violated, 1.0).otherwise(0.0)), 6)

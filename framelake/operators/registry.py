@@ -101,6 +101,19 @@ def conflicts(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.join(old.select(*key), key, "left_semi")
 
 
+def has_keys(df: DataFrame, keys: list[str]) -> dict[str, bool]:
+    """Which columns are there; a check of the schema alone."""
+    return {k: k in df.columns for k in keys}
+
+
+def require(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows, if all their keys are known; else an error that names some that aren't."""
+    lost = [r[0] for r in rows.select(key).join(known.select(key), key, "left_anti").distinct().take(5)]
+    if lost:
+        raise LookupError(f"unknown {key}: {lost}")
+    return rows
+
+
 def update(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows with the non-null values of new ones. Of new rows with one key the largest counts, column by column."""
     values = [c for c in new.columns if c not in key]

@@ -111,22 +111,6 @@ def size_batches(df: DataFrame, by: str, order: list[str], size: str, target: fl
     return out.select(by, *[F.col(f"z._rows.{c}").alias(c) for c in order], F.col("z._b").alias("batch"))
 
 
-def ksg_mutual_information(df: DataFrame, by: str, key: str, x: list[str], y: list[str], k: int) -> DataFrame:
-    """KSG estimate for each row among the rows of its group, in nats and without jitter: H(k-1) - H(nx) - H(ny) + H(n-1)
-    with nx, ny the counts strictly nearer than the k-th joint neighbour in the maximum norm. Groups of fewer than k + 1
-    rows give null. Every row meets its whole group, which is the estimator's definition: a group is a task's episodes."""
-    dist = lambda names: F.greatest(*[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in names], F.lit(0.0), F.lit(0.0))
-    pairs = df.alias("a").join(df.alias("b"), (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
-    rows = pairs.select(F.col(f"a.{by}").alias(by), F.col(f"a.{key}").alias(key), dist(x).alias("dx"), dist(y).alias("dy"))
-    lists = rows.groupBy(by, key).agg(F.collect_list(F.struct(F.greatest("dx", "dy").alias("d"), "dx", "dy")).alias("l"))
-    lists = lists.withColumn("eps", F.try_element_at(F.sort_array(F.transform("l", lambda e: e["d"])), F.lit(k)) * (1 - 1e-10))
-    near = lambda c: F.size(F.filter("l", lambda e: e[c] < F.col("eps")))
-    h = lambda n: F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + 1.0 / i)
-    harmonic = lambda n: F.when(n > 0, h(n)).otherwise(0.0)
-    mi = harmonic(F.lit(k - 1)) - harmonic(near("dx")) - harmonic(near("dy")) + harmonic(F.size("l"))
-    return lists.select(by, key, F.when(F.size("l") >= k, mi).alias("mi"))
-
-
 def nearest_value(left: DataFrame, right: DataFrame, by: str, key: str, x: str) -> DataFrame:
     """For each left row the right row of its group whose x is nearest (the smaller one of two as near): other. One sort of
     both sides, as for a join in time."""

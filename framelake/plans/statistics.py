@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.operators import information as N
 from framelake.operators import registry as R
+from framelake.operators import selection as P
 from framelake.operators import statistics as S
 from framelake.plans.registry import query
 from framelake.plans.standins import FRAMES_SQL, REGISTRY_SQL, frames, load, registry
@@ -177,8 +179,44 @@ _PAIR = "e AS (SELECT label, vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(emb
 c AS (SELECT k.label, k.vec_id, k.m, count(*) FILTER (p.dx < k.eps) AS nx, count(*) FILTER (p.dy < k.eps) AS ny FROM k JOIN p ON p.vec_id = k.vec_id GROUP BY k.label, k.vec_id, k.m)
 SELECT label, vec_id, round(1.5 - coalesce(list_sum(list_transform(range(1, nx + 1), lambda i: 1.0::DOUBLE / i)), 0) - coalesce(list_sum(list_transform(range(1, ny + 1), lambda i: 1.0::DOUBLE / i)), 0) + list_sum(list_transform(range(1, m + 1), lambda i: 1.0::DOUBLE / i)), 6) AS mi FROM c""")
 def mutual_information(spark: SparkSession, d: str) -> DataFrame:
-    df = load(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return S.ksg_mutual_information(df, "label", "vec_id", ["x"], ["y"], 3).select("label", "vec_id", F.round("mi", 6).alias("mi"))
+    one = lambda i: F.array(F.col("embedding")[i].cast("double"))
+    df = load(spark, d, "embeddings").select("label", "vec_id", one(0).alias("x"), one(1).alias("y"))
+    return N.ksg(df, "label", "vec_id", "x", "y", [3]).select("label", "vec_id", F.round("mi", 6).alias("mi"))
+
+
+_HALVES = "h AS (SELECT label, vec_id, list_transform(embedding[1:32], lambda v: v::DOUBLE) AS x, list_transform(embedding[33:], lambda v: v::DOUBLE) AS y, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) <= count(*) OVER () // 2 AS ref FROM embeddings)"
+
+
+def _apart(c: str) -> str:
+    return f"list_max(list_transform(list_zip(a.{c}, b.{c}), lambda z: abs(z[1] - z[2])))"
+
+
+def _ksg_sql(ks: str, other: str, least: str) -> str:
+    h = lambda n: f"coalesce(list_sum(list_transform(range(1, {n} + 1), lambda i: 1.0::DOUBLE / i)), 0)"
+    return f"""WITH {_HALVES}, p AS (SELECT a.label, a.vec_id, {_apart("x")} AS dx, {_apart("y")} AS dy FROM h a JOIN h b ON b.label = a.label AND {other}),
+l AS (SELECT label, vec_id, list_sort(list(greatest(dx, dy))) AS l, count(*) AS n FROM p GROUP BY label, vec_id), k AS (SELECT unnest({ks}) AS k),
+e AS (SELECT label, vec_id, n, k, l[k + 1] * (1 - 1e-10) AS eps FROM l, k WHERE n > {least}),
+c AS (SELECT e.vec_id, e.n, e.k, greatest(count(*) FILTER (p.dx < e.eps) - 1, 0) AS nx, greatest(count(*) FILTER (p.dy < e.eps) - 1, 0) AS ny FROM e JOIN p ON p.vec_id = e.vec_id GROUP BY e.vec_id, e.n, e.k),
+m AS (SELECT vec_id, avg({h("(k - 1)")} - {h("nx")} - {h("ny")} + {h("(n - 1)")}) AS mi FROM c GROUP BY vec_id)
+SELECT h.label, h.vec_id, round(m.mi, 6) AS mi FROM h LEFT JOIN m ON m.vec_id = h.vec_id"""
+
+
+def _halves(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    ranked = P.permuted(load(spark, d, "embeddings"), "vec_id").withColumn("ref", F.col("rank") < F.expr("n div 2"))
+    return ranked.select("label", "vec_id", F.slice(x, 1, 32).alias("x"), F.slice(x, 33, 32).alias("y"), "ref")
+
+
+@query("Q8 Q9 Q11 J17 J18", _ksg_sql("[3, 4, 5, 6, 7]", "TRUE", "7"))
+def mutual_information_averaged(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves of whole vectors, averaged over 3 to 7 neighbours."""
+    return N.ksg(_halves(spark, d), "label", "vec_id", "x", "y", [3, 4, 5, 6, 7]).withColumn("mi", F.round("mi", 6))
+
+
+@query("Q10", _ksg_sql("[5]", "b.ref", "5"))
+def mutual_information_by_sample(spark: SparkSession, d: str) -> DataFrame:
+    """All rows against the half of them that a seeded permutation puts first; sampling the reference is the feature."""
+    return N.ksg(_halves(spark, d), "label", "vec_id", "x", "y", [5], "ref").withColumn("mi", F.round("mi", 6))
 
 
 @query("J19 E4", f"WITH {_PAIR} SELECT a.vec_id, arg_min(b.vec_id, abs(a.x - b.x)) AS nearest FROM e a JOIN e b ON b.label = a.label AND b.vec_id % 2 = 1 WHERE a.vec_id % 2 = 0 GROUP BY a.vec_id")
