@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,21 +97,26 @@ def kl_divergence(p: DataFrame, q: DataFrame, key: str, eps: float = 1e-10) -> D
 
 def size_batches(df: DataFrame, by: str, order: list[str], size: str, target: float) -> DataFrame:
     """batch of each row: rows of a group join one after the other, and a new batch begins where a non-empty one would
-    pass the target. A fold over each group's sorted rows; groups bound what one task folds."""
-    row = F.struct(*order, F.col(size).cast("double").alias("_size"))
-    folded = F.aggregate(
-        F.sort_array(F.collect_list(row)),
-        F.struct(F.lit(0).alias("batch"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("out")),
-        lambda s, x: F.struct(
-            F.when((s["sum"] > 0) & (s["sum"] + x["_size"] > target), s["batch"] + 1).otherwise(s["batch"]).alias("batch"),
-            F.when((s["sum"] > 0) & (s["sum"] + x["_size"] > target), x["_size"]).otherwise(s["sum"] + x["_size"]).alias("sum"),
-            F.concat(s["out"], F.array(F.when((s["sum"] > 0) & (s["sum"] + x["_size"] > target), s["batch"] + 1).otherwise(s["batch"]))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    both = df.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias("_rows"), folded.alias("_b"))
-    out = both.select(by, F.explode(F.arrays_zip("_rows", "_b")).alias("z"))
-    return out.select(by, *[F.col(f"z._rows.{c}").alias(c) for c in order], F.col("z._b").alias("batch"))
+    pass the target; a null size counts as 0. Each group is one sequence by definition: its rows are sorted on disk where
+    needed and pass a task as Arrow batches, so that only a group, a batch number and a sum are held."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, number, total = None, 0, 0.0
+        for rows in batches:
+            out = []
+            for key, x in zip(rows.column(0).to_pylist(), rows.column(rows.num_columns - 1).to_pylist(), strict=True):
+                if group != (key,):
+                    group, number, total = (key,), 0, 0.0
+                if total > 0 and total + x > target:
+                    number, total = number + 1, 0.0
+                total += x
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(out, pa.int32())], [*names, "batch"])
+
+    names = [by, *order]
+    rows = df.select(*names, F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("_size"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema][:-1]
+    return rows.repartition(by).sortWithinPartitions(*names, "_size").mapInArrow(numbered, ", ".join([*kinds, "batch int"]))
 
 
 def nearest_value(left: DataFrame, right: DataFrame, by: str, key: str, x: str) -> DataFrame:

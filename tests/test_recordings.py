@@ -7,6 +7,7 @@ import pytest
 from framelake.functions import arrays as A
 from framelake.operators import information as N
 from framelake.operators import registry as R
+from framelake.operators import statistics as S
 from pyspark.sql import functions as F
 
 SCHEMA = "g string, id long, x array<double>, y array<double>, ref boolean, extra string"
@@ -81,3 +82,11 @@ def test_required_keys(spark):
     with pytest.raises(LookupError, match="y"):
         R.require(a, b, "k")
     assert R.has_keys(a, ["k", "z"]) == {"k": True, "z": False}
+
+
+def test_batches_of_groups_with_nulls(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 9.0), ("a", 3, None), ("a", 4, 1.0), ("a", 5, 20.0), (None, 1, 6.0), (None, 2, 6.0), ("b", None, 3.0), ("b", 1, 8.0)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "g string, i long, n double, batch string")
+    got = {(r["g"], r["i"]): r["batch"] for r in S.size_batches(df, "g", ["i"], "n", 10.0).collect()}
+    assert got == {("a", 1): 0, ("a", 2): 1, ("a", 3): 1, ("a", 4): 1, ("a", 5): 2, (None, 1): 0, (None, 2): 1, ("b", None): 0, ("b", 1): 1}
+    assert S.size_batches(df.limit(0), "g", ["i"], "n", 10.0).count() == 0
