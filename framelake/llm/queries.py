@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, brown, chat, decontaminate, importance, infill, jaccard, langid, licenses, substrings, vectors
+from framelake.llm import bpe, brown, chat, decontaminate, importance, infill, jaccard, langid, licenses, mixing, substrings, vectors
 from framelake.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
 
@@ -72,11 +76,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_scores": op10_lm_scores,
+    "op12_mix_sources": op12_mix_sources,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": vectors.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op12_mix_sources": mixing.ORACLE,
     "op13_fill_in_middle": infill.ORACLE,
 }
