@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import bpe, brown, chat, decontaminate, importance, infill, jaccard, langid, licenses, mixing, substrings, vectors
+from framelake.llm import bpe, brown, chat, decontaminate, importance, infill, jaccard, langid, licenses, mixing, structure, substrings, vectors
 from framelake.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return structure.digests(structure.damaged(turns), turns)
+
+
 def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_scores": op10_lm_scores,
+    "op11_structure_repair": op11_structure_repair,
     "op12_mix_sources": op12_mix_sources,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
