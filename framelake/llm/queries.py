@@ -89,6 +89,7 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": vectors.ORACLE,
     "op6_chat_format": chat.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op11_structure_repair": structure.ORACLE,
     "op12_mix_sources": mixing.ORACLE,
     "op13_fill_in_middle": infill.ORACLE,
 }

@@ -394,3 +394,32 @@ def digests(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     nothing: Column = F.lit(hashlib.sha256(b"").hexdigest())
     return df.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: [ord(substr(k, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT)"
+ORACLE = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {_CRC} % 20 AS h FROM c),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS r, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE '-' END AS initial FROM d),
+t AS (SELECT conv_id, r, turn, role, text, initial, CASE WHEN body = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY r) || initial AS pair FROM o),
+ins(f, t, cost, letters) AS (VALUES ('-', '-', 0, ''), ('-', 'u', 2, 'I'), ('-', 'a', 4, 'II'), ('s', 's', 0, ''), ('s', 'u', 2, 'I'), ('s', 'a', 4, 'II'), ('u', 'u', 0, ''), ('u', 'a', 2, 'I'), ('a', 'a', 0, ''), ('a', 'u', 2, 'I')),
+e AS (SELECT i.f, i.letters || p.edit AS letters, i.cost + p.cost AS cost, p.t, p.initial, p.stays
+  FROM ins i JOIN (SELECT s.f, s.t, x.initial, m.edit, m.cost, m.edit <> 'D' AS stays FROM (VALUES ('-', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a'), ('-', 's'), ('-', '-'), ('s', 's'), ('u', 'u'), ('a', 'a')) s(f, t), (VALUES ('s'), ('u'), ('a'), ('-')) x(initial), (VALUES ('K', 0), ('R', 2), ('D', 3)) m(edit, cost)
+    WHERE CASE m.edit WHEN 'D' THEN s.f = s.t WHEN 'R' THEN s.f <> s.t AND s.t <> 's' ELSE s.f <> s.t AND s.t = x.initial END) p ON p.f = i.t),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS r, '-' AS state, 0::BIGINT AS cost, '' AS audit FROM t
+  UNION ALL SELECT conv_id, r, state, b.cost, b.audit FROM (SELECT dp.conv_id, t.r, e.t AS state, min({{'cost': dp.cost + e.cost + CASE WHEN e.stays AND t.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': dp.audit || e.letters}}) AS b
+    FROM dp JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.r = dp.r + 1 JOIN e ON e.f = dp.state AND e.initial = t.initial AND (NOT e.stays OR t.fault IN ('none', 'truncated')) GROUP BY dp.conv_id, t.r, e.t)),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(r) AS rows FROM t GROUP BY conv_id),
+best AS (SELECT n.conv_id, min({{'cost': dp.cost + ins.cost, 'audit': dp.audit || ins.letters}}) AS b FROM n JOIN dp ON dp.conv_id IS NOT DISTINCT FROM n.conv_id AND dp.r = n.rows JOIN ins ON ins.f = dp.state AND ins.t IN ('-', 'a') GROUP BY n.conv_id),
+l AS (SELECT conv_id, p, b.audit[p] AS edit FROM (SELECT *, unnest(range(1, length(b.audit) + 1)) AS p FROM best)),
+m AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS r FROM l),
+g AS (SELECT m.conv_id, p, edit, CASE WHEN edit <> 'I' THEN t.role END AS role, CASE WHEN edit <> 'I' THEN t.text ELSE '' END AS text, t.initial, row_number() OVER (PARTITION BY m.conv_id ORDER BY p) AS j FROM m LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id AND t.r = m.r WHERE edit <> 'D'),
+q AS (SELECT *, max(CASE WHEN j = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM g),
+s AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS sha FROM q GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.b.cost, 0) AS BIGINT) AS cost, coalesce(best.b.audit, '') AS audit, coalesce(s.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
