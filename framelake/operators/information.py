@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096  # rows of a group on each side of a task's product
+from framelake.operators import blocks as B
+from framelake.sources.scratch import Steps, steps
+
 STRIPE = 256  # rows of one side that are compared at once inside a task
 
 
@@ -23,7 +26,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _stripes(left: pd.DataFrame, right: pd.DataFrame):
     """(first row, distances in x, distances in y) of a stripe of the left rows to all right ones."""
-    ax, ay, bx, by = (np.stack(c) for c in (left["_x"], left["_y"], right["_u"], right["_v"]))
+    ax, ay, bx, by = map(B.stacked, (left["_x"], left["_y"], right["_u"], right["_v"]))
     for at in range(0, len(left), STRIPE):
         yield at, _distances(ax[at : at + STRIPE], bx), _distances(ay[at : at + STRIPE], by)
 
@@ -35,15 +38,6 @@ def _beside(left: pd.DataFrame, **lists: list) -> pd.DataFrame:
     return pd.DataFrame({"_by": left["_by"][:n], "_key": left["_key"][:n], **columns})
 
 
-def _pairs(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
-    """run on each pair of a block of left rows and a block of right rows of one group."""
-    n = F.col("_blocks")
-    a = left.withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1)))
-    b = right.withColumn("_to", F.explode(F.sequence(F.lit(0), n - 1)))
-    b = b.select(F.col("_by").alias("_g"), "_to", F.col("_i").alias("_from"), F.col("_x").alias("_u"), F.col("_y").alias("_v"))
-    return a.groupBy("_by", "_i", "_j").cogroup(b.groupBy("_g", "_to", "_from")).applyInPandas(run, schema)
-
-
 def harmonic(n: Column) -> Column:
     """Sum of 1/i up to n: added up to 32, by its series beyond (exact to 1e-12)."""
     small = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(32)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i)
@@ -51,24 +45,82 @@ def harmonic(n: Column) -> Column:
     return F.when(n <= 0, 0.0).when(n <= 32, small).otherwise(series)
 
 
-def ksg(df: DataFrame, by: str, key: str, x: str, y: str, ks: Sequence[int], reference: str | None = None) -> DataFrame:
-    """KSG estimate for each row among the rows of its group, averaged over ks, in nats and without jitter:
-    H(k-1) - H(nx) - H(ny) + H(n-1) with nx, ny the counts strictly nearer than the k-th joint neighbour in the maximum norm.
+def _boxed(most: int):  # noqa: ANN202
+    """A block's rows with reach, within which each has `most` reference rows of the block; its first row has the block's box
+    and that of its reference rows."""
 
-    x and y are arrays of one length each. With `reference`, a boolean column, neighbours are only rows that it marks; a row
-    that isn't marked then reaches to its (k+1)-th one, and its own place is taken off the counts. Rows without a group, a key
-    or a vector take no part; (by, key) is unique. Groups with too few rows give null. Every row meets its whole group, which is
-    the estimator's definition; a group of any size goes to tasks in pairs of blocks, and only the nearest few distances
-    and the counts are shuffled from them."""
-    most = max(ks) + 1
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, ref = B.stacked(rows["_x"]), B.stacked(rows["_y"]), rows["_ref"].to_numpy()
+        reach = np.full(len(rows), np.inf)
+        if ref.sum() >= most:
+            for at in range(0, len(x), STRIPE):
+                d = np.maximum(_distances(x[at : at + STRIPE], x[ref]), _distances(y[at : at + STRIPE], y[ref]))
+                reach[at : at + STRIPE] = np.partition(d, most - 1, axis=1)[:, most - 1]
+        box = {"lx": x.min(0), "hx": x.max(0), "ly": y.min(0), "hy": y.max(0)}
+        if ref.any():
+            box |= {"rlx": x[ref].min(0), "rhx": x[ref].max(0), "rly": y[ref].min(0), "rhy": y[ref].max(0)}
+        rest = [None] * (len(rows) - 1)
+        return rows.assign(reach=reach, **{c: pd.Series([box.get(c), *rest], index=rows.index, dtype=object) for c in _BOX})
+
+    return run
+
+
+_BOX = ("lx", "hx", "ly", "hy", "rlx", "rhx", "rly", "rhy")
+
+
+def _gaps(row: bool) -> tuple[Column, Column]:
+    """Gaps in x and in y between a block, or a row, and another block's reference rows."""
+    x, y = (("_x", "_x"), ("_y", "_y")) if row else (("lx", "hx"), ("ly", "hy"))
+    return B.gap(*x, "rlx", "rhx"), B.gap(*y, "rly", "rhy")
+
+
+def _visits(boxes: DataFrame, near: Column) -> DataFrame:
+    """Pairs of blocks (_by, _i, _j) that may hold neighbours, with the box of the second one's reference rows."""
+    b = boxes.filter("rlx IS NOT NULL").select("_by", F.col("_i").alias("_j"), "rlx", "rhx", "rly", "rhy")
+    return boxes.drop("rlx", "rhx", "rly", "rhy").join(b, "_by").filter(near).select("_by", "_i", "_j", "rlx", "rhx", "rly", "rhy")
+
+
+@dataclass(frozen=True)
+class Neighbours:
+    """What a search over blocks needs: rows with their block and reach, boxes of the blocks, and the pairs to visit."""
+
+    rows: DataFrame
+    boxes: DataFrame
+    visits: DataFrame
+    most: int
+
+
+def neighbours(own: Steps, df: DataFrame, by: str, key: str, x: str, y: str, most: int, reference: str | None = None, block: int = B.BLOCK) -> Neighbours:
+    """Blocks are cells of space. A row is sent to another block only if the gap between the row and the block's box isn't
+    above the distance within which it has `most` reference rows in its own block; pairs of blocks without such rows are
+    found from their boxes alone."""
     mark = F.col(reference) if reference else F.lit(True)
     rows = df.filter(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.select(F.col(by).alias("_by"), F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.coalesce(mark, F.lit(False)).alias("_ref"))
-    sizes = rows.groupBy("_by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"), F.count_if("_ref").alias("_n"))
-    rows = rows.join(sizes, "_by").withColumn("_i", F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int"))
+    rows = B.spatial(rows, "_x", "_y", block)
+    kinds = ", ".join([*(f"{c} {k}" for c, k in rows.dtypes), "reach double", *(f"{c} array<double>" for c in _BOX)])
+    rows = own.written(rows.groupBy("_by", "_i").applyInPandas(_boxed(most), kinds))
+    reach = rows.groupBy("_by", "_i").agg(F.max("reach").alias("reach"))
+    boxes = own.written(rows.filter("lx IS NOT NULL").select("_by", "_i", *_BOX).join(reach, ["_by", "_i"]))
+    return Neighbours(rows.drop(*_BOX), boxes, _visits(boxes, F.greatest(*_gaps(False)) <= F.col("reach")), most)
+
+
+def block_visits(found: Neighbours, by: str) -> DataFrame:
+    """Of each group: how many rows the search for neighbours sends to how many blocks (visited), and how many it would send
+    if every row met every block (pairs)."""
+    n = found.boxes.groupBy("_by").agg(F.count("rlx").alias("_n"))
+    pairs = found.rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_rows")).join(n, "_by").select("_by", (F.col("_n") * F.col("_rows")).alias("pairs"))
+    sent = found.rows.join(found.visits, ["_by", "_i"]).filter(F.greatest(*_gaps(True)) <= F.col("reach")).groupBy("_by").agg(F.count(F.lit(1)).alias("visited"))
+    return pairs.join(sent, "_by", "left").select(F.col("_by").alias(by), "visited", "pairs")
+
+
+def _counts(own: Steps, found: Neighbours, ks: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """For rows with enough neighbours (_by, _key): eps, just below the distances to their k-th neighbours, and as sums the
+    numbers of reference rows strictly nearer in x (_nx0, _nx1, ...) and in y (_ny0, ...), rows themselves included."""
+    most, rows = found.most, found.rows
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     head = f"_by {kinds['_by']}, _key {kinds['_key']}"
-    refs = rows.filter("_ref").select("_by", "_i", "_blocks", "_x", "_y")
+    refs = rows.filter("_ref").select("_by", "_i", F.col("_x").alias("_u"), F.col("_y").alias("_v"))
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -80,24 +132,56 @@ def ksg(df: DataFrame, by: str, key: str, x: str, y: str, ks: Sequence[int], ref
     def counted(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         nx, ny = [], []
         if len(left) and len(right):
-            eps = np.stack(left["eps"]).astype(float)
+            eps = B.stacked(left["eps"])
             for at, dx, dy in _stripes(left, right):
                 reach = eps[at : at + len(dx)]
                 nx.extend((dx[:, :, None] < reach[:, None, :]).sum(axis=1))
                 ny.extend((dy[:, :, None] < reach[:, None, :]).sum(axis=1))
         return _beside(left, nx=nx, ny=ny)
 
-    near = _pairs(rows.select("_by", "_key", "_i", "_blocks", "_x", "_y"), refs, nearest, f"{head}, near array<double>")
+    plain = rows.select("_by", "_key", "_i", "_x", "_y")
+    near = B.on_pairs(rows.select(*plain.columns, "reach"), refs, found.visits, nearest, f"{head}, near array<double>", F.greatest(*_gaps(True)) <= F.col("reach"))
     near = near.groupBy("_by", "_key").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("_d"))
     reach = F.array(*[F.col("_d")[k] * (1 - 1e-10) for k in ks])
-    reached = near.filter(F.size("_d") >= most).select("_by", "_key", reach.alias("eps"))
-    counts = _pairs(rows.select("_by", "_key", "_i", "_blocks", "_x", "_y").join(reached, ["_by", "_key"]), refs, counted, f"{head}, nx array<long>, ny array<long>")
+    reached = own.written(plain.join(near.filter(F.size("_d") >= most).select("_by", "_key", reach.alias("eps")), ["_by", "_key"]))
+    widest = reached.groupBy("_by", "_i").agg(F.max(F.array_max("eps")).alias("widest"))
+    visits = _visits(found.boxes.join(widest, ["_by", "_i"]), F.least(*_gaps(False)) < F.col("widest"))
+    counts = B.on_pairs(reached, refs, visits, counted, f"{head}, nx array<long>, ny array<long>", F.least(*_gaps(True)) < F.array_max("eps"))
     sums = [F.sum(F.col(c)[i]).alias(f"_{c}{i}") for c in ("nx", "ny") for i in range(len(ks))]
-    counts = counts.groupBy("_by", "_key").agg(*sums)
-    others = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
-    parts = [harmonic(F.lit(k - 1)) - harmonic(others(f"_nx{i}")) - harmonic(others(f"_ny{i}")) + harmonic(F.col("_n") - 1) for i, k in enumerate(ks)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    out = rows.select("_by", "_key", "_n").join(counts, ["_by", "_key"], "left")
-    return out.select(F.col("_by").alias(by), F.col("_key").alias(key), F.when(F.col("_nx0").isNotNull(), total / len(ks)).alias("mi"))
+    return reached.select("_by", "_key", "eps"), counts.groupBy("_by", "_key").agg(*sums)
+
+
+def _others(c: str) -> Column:
+    """A count without the row itself."""
+    return F.greatest(F.coalesce(F.col(c), F.lit(0)) - 1, F.lit(0))
+
+
+def reach_counts(df: DataFrame, by: str, key: str, x: str, y: str, k: int, block: int = B.BLOCK) -> DataFrame:
+    """by, key, eps (distance to the k-th neighbour in the maximum norm over x and y), nx and ny (other rows strictly nearer
+    than eps in x alone, in y alone). Groups of k rows or fewer give none. Blocks are visited as in ksg()."""
+    with steps(df.sparkSession) as own:
+        reached, counts = _counts(own, neighbours(own, df, by, key, x, y, k + 1, None, block), [k])
+        out = reached.join(counts, ["_by", "_key"], "left")
+        eps = F.col("eps")[0] / (1 - 1e-10)
+        return own.result(out.select(F.col("_by").alias(by), F.col("_key").alias(key), eps.alias("eps"), _others("_nx0").alias("nx"), _others("_ny0").alias("ny")))
+
+
+def ksg(df: DataFrame, by: str, key: str, x: str, y: str, ks: Sequence[int], reference: str | None = None, block: int = B.BLOCK) -> DataFrame:
+    """KSG estimate for each row among the rows of its group, averaged over ks, in nats and without jitter:
+    H(k-1) - H(nx) - H(ny) + H(n-1) with nx, ny the counts strictly nearer than the k-th joint neighbour in the maximum norm.
+
+    x and y are arrays of one length each. With `reference`, a boolean column, neighbours are only rows that it marks; a row
+    that isn't marked then reaches to its (k+1)-th one, and its own place is taken off the counts. Rows without a group, a key
+    or a vector take no part; (by, key) is unique. Groups with too few rows give null. A group of any size is cut into blocks
+    of nearby rows. Blocks whose boxes lie further apart than any of their rows reaches aren't compared, neither for the
+    nearest rows nor for the counts in x and y; only nearest distances and counts are shuffled."""
+    with steps(df.sparkSession) as own:
+        found = neighbours(own, df, by, key, x, y, max(ks) + 1, reference, block)
+        reached, counts = _counts(own, found, ks)
+        parts = [harmonic(F.lit(k - 1)) - harmonic(_others(f"_nx{i}")) - harmonic(_others(f"_ny{i}")) + harmonic(F.col("_n") - 1) for i, k in enumerate(ks)]
+        total = parts[0]
+        for p in parts[1:]:
+            total = total + p
+        sizes = found.rows.groupBy("_by").agg(F.count_if("_ref").alias("_n"))
+        out = found.rows.select("_by", "_key").join(sizes, "_by").join(reached.select("_by", "_key", F.lit(True).alias("_found")), ["_by", "_key"], "left").join(counts, ["_by", "_key"], "left")
+        return own.result(out.select(F.col("_by").alias(by), F.col("_key").alias(key), F.when(F.col("_found"), total / len(ks)).alias("mi")))

@@ -34,13 +34,12 @@ def by_pairs(rows: list[tuple], ks: list[int], sampled: bool) -> dict[tuple, flo
 
 @pytest.mark.parametrize("sampled", [False, True])
 def test_information_by_pairs(spark, monkeypatch, sampled):
-    monkeypatch.setattr(N, "BLOCK", 16)
     monkeypatch.setattr(N, "STRIPE", 5)
     rng = np.random.default_rng(3)
     rows = [("hot" if k < 90 else f"g{k % 3}", k, rng.standard_normal(2).round(1).tolist(), rng.standard_normal(3).round(1).tolist(), k % 3 != 0, "e") for k in range(120)]
     rows += [("hot", 1000 + k, [0.5, 0.5], [0.0, 0.0, 0.0], True, "copy") for k in range(8)] + [("few", 2000, [0.0, 0.0], [0.0, 0.0, 0.0], True, None)]
     odd = [(None, 3000, [0.0, 0.0], [0.0, 0.0, 0.0], True, None), ("hot", None, [0.0, 0.0], [0.0, 0.0, 0.0], True, None), ("hot", 3001, None, [0.0, 0.0, 0.0], True, None)]
-    got = N.ksg(spark.createDataFrame(rows + odd, SCHEMA), "g", "id", "x", "y", [2, 4], "ref" if sampled else None).collect()
+    got = N.ksg(spark.createDataFrame(rows + odd, SCHEMA), "g", "id", "x", "y", [2, 4], "ref" if sampled else None, block=16).collect()
     want = by_pairs(rows, [2, 4], sampled)
     assert len(got) == len(want)
     for r in got:
