@@ -31,3 +31,59 @@ def flattened(df: DataFrame, keys: list[str]) -> DataFrame:
 def mapped(df: DataFrame, kind: type[T.DataType], change) -> DataFrame:
     """change applied to every top-level column of a type."""
     return df.withColumns({f.name: change(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, kind)})
+
+
+def deep(c: Column, kind: T.DataType, leaf: type[T.DataType], change) -> Column:  # noqa: ANN001
+    """c, a column of type kind, with change applied to every value of type leaf inside structs, arrays and the values of
+    maps, however deep; null structs, arrays and maps stay null."""
+    if isinstance(kind, T.StructType):
+        inside = F.struct(*[deep(c.getField(f.name), f.dataType, leaf, change).alias(f.name) for f in kind])
+        return F.when(c.isNotNull(), inside)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: deep(x, kind.elementType, leaf, change))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: deep(x, kind.valueType, leaf, change))
+    return change(c) if isinstance(kind, leaf) else c
+
+
+def deep_mapped(df: DataFrame, leaf: type[T.DataType], change) -> DataFrame:  # noqa: ANN001
+    """All columns with every value of a type changed, at any depth of their schema."""
+    return df.select(*[deep(F.col(f"`{f.name}`"), f.dataType, leaf, change).alias(f.name) for f in df.schema])
+
+
+def deep_types(kind: T.DataType, leaf: type[T.DataType], to: T.DataType) -> T.DataType:
+    """kind with every type leaf replaced; df.select(c.cast(...)) recasts a nested column at once."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, deep_types(f.dataType, leaf, to), f.nullable) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(deep_types(kind.elementType, leaf, to), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, deep_types(kind.valueType, leaf, to), kind.valueContainsNull)
+    return to if isinstance(kind, leaf) else kind
+
+
+def deep_cast(df: DataFrame, leaf: type[T.DataType], to: T.DataType) -> DataFrame:
+    return df.select(*[F.col(f"`{f.name}`").cast(deep_types(f.dataType, leaf, to)).alias(f.name) for f in df.schema])
+
+
+def shape(c: Column, kind: T.DataType) -> Column:
+    """Sizes of a nested array along its dimensions; null where rows of one dimension differ in size."""
+    if not isinstance(kind, T.ArrayType):
+        return F.array().cast("array<int>")
+    if not isinstance(kind.elementType, T.ArrayType):
+        return F.array(F.size(c))
+    inner = F.array_distinct(F.transform(c, lambda x: shape(x, kind.elementType)))
+    return F.when(F.size(c) == 0, F.array(F.size(c))).when((F.size(inner) == 1) & inner[0].isNotNull(), F.concat(F.array(F.size(c)), inner[0]))
+
+
+def expect_size(c: Column, kind: T.DataType, dim: int, size: int) -> Column:
+    """c, or an error where its size along a dimension is another."""
+    own = shape(c, kind)
+    found = F.try_element_at(own, F.lit(dim + 1 if dim >= 0 else dim))
+    why = F.concat(F.lit(f"size {size} expected along dimension {dim}, the shape is "), F.coalesce(own.cast("string"), F.lit("ragged")))
+    return F.when(c.isNull() | F.coalesce(found == size, F.lit(False)), c).otherwise(F.raise_error(why))
+
+
+def over_time(c: Column, step) -> Column:  # noqa: ANN001
+    """step applied to what each time step of a sequence holds; null steps stay null."""
+    return F.transform(c, lambda x: F.when(x.isNotNull(), step(x)))

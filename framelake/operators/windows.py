@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -42,6 +44,32 @@ def moved_less(values: list[str], epsilon: float) -> Column:
     return F.sqrt(square) < epsilon
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _point_step(now: Column, last: Column) -> Callable[[Column], Column]:
+    """How far the point of a number moved."""
+    return lambda i: _apart(F.slice(now, 3 * i + 1, 3), F.slice(last, 3 * i + 1, 3))
+
+
+def moved_less_in_space(poses: dict[str, float], points: dict[str, float]) -> Column:
+    """Whether all signals (column to epsilon) moved less than that since the frame before: each of the poses, arrays of
+    numbers, by its L2 distance, and of each array of points (x y z x y z ...) the point that moved furthest, which sees
+    fingers bend at a wrist at rest. Points that are null now or before, or aren't whole, are left out. Null in the first
+    frame."""
+    still = [_apart(F.col(c), F.lag(c).over(over())) < e for c, e in poses.items()]
+    for c, epsilon in points.items():
+        now, last = F.col(c), F.lag(c).over(over())
+        whole = (F.size(now) % 3 == 0) & (F.size(now) > 0) & (F.size(now) == F.size(last))
+        furthest = F.array_max(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(now) / 3) - 1, F.lit(0)).cast("int")), _point_step(now, last)))
+        still.append(F.when(F.coalesce(whole, F.lit(False)), furthest < epsilon).otherwise(True))
+    out = still[0]
+    for s in still[1:]:
+        out = out & s
+    return out
+
+
 def renumber(df: DataFrame, out: str = "kept_idx") -> DataFrame:
     return df.withColumn(out, (F.row_number().over(over()) - 1).cast("long"))
 

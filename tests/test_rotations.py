@@ -77,7 +77,7 @@ def test_revert_undoes_the_wrist_frame(encoding):
 
 
 @pytest.mark.parametrize(
-    ("who", "mode", "width", "state"), [("eva", "cartesian", 14, 14), ("eva", "cartesian_6d", 20, 20), ("eva", "cartesian_wristframe_quat", 16, 16), ("aria", "cartesian", 12, 12), ("mecka", "cartesian_wristframe_6d", 18, 18), ("scale", "keypoints_headframe_ypr", 138, 12), ("aria", "keypoints_wristframe_quat", 140, 14)]
+    ("who", "mode", "width", "state"), [("eva", "cartesian", 14, 14), ("eva", "cartesian_6d", 20, 20), ("eva", "cartesian_wristframe_quat", 16, 16), ("aria", "cartesian", 12, 12), ("mecka", "cartesian_wristframe_6d", 18, 18), ("scale", "keypoints_headframe_ypr", 138, 138), ("aria", "keypoints_wristframe_quat", 140, 140)]
 )
 def test_pipeline_widths(spark, who, mode, width, state):
     p, n = E.pipeline(who, mode), 6
