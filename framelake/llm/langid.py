@@ -11,7 +11,7 @@ Ties go to the language that sorts first. Rows are never dropped, so repeated ro
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from framelake.llm.common import remainder, scratch, written
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 1024
-PIECE = 1 << 22  # characters hashed at once
+PIECE = 1 << 20  # characters hashed at once
 
 _tables: list[np.ndarray] = []
 
@@ -51,17 +51,35 @@ def _codes(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
 
 
-def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket numbers of all n-grams, in pieces of bounded size."""
-    for at in range(0, len(codes), PIECE):
-        part = codes[at : at + PIECE + max(ORDERS) - 1].astype(np.uint64)
-        for n in ORDERS:
-            if (m := min(len(part) - n + 1, PIECE)) > 0:
-                h = np.full(m, n, dtype=np.uint64)
-                for k in range(n):
-                    h = (h ^ part[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                yield (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _grams(codes: np.ndarray, known: int = 0) -> Iterator[np.ndarray]:
+    """Bucket numbers of all n-grams, but for those inside the first `known` codes."""
+    part = codes.astype(np.uint64)
+    for n in ORDERS:
+        first = max(0, known - n + 1)
+        if (m := len(part) - n + 1 - first) > 0:
+            h = np.full(m, n, dtype=np.uint64)
+            for k in range(n):
+                h = (h ^ part[first + k : first + k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            yield (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _counts(text: str) -> np.ndarray | None:
+    """How often each bucket occurs in a text of any length, read in pieces; null without a letter."""
+    sums, seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64), False
+    carry = np.zeros(1, dtype=np.uint32)
+    for at in range(0, len(text) + 1, PIECE):
+        c = _letters()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        seen = seen or bool(c.any())
+        if at + PIECE > len(text):
+            c = np.concatenate([c, [0]]).astype(np.uint32)
+        new = c[(c != 0) | (np.concatenate([carry[-1:], c[:-1]]) != 0)]
+        codes = np.concatenate([carry, new])
+        # the first gap is counted with the first piece
+        for g in _grams(codes, len(carry) if at else 0):
+            sums += np.bincount(g, minlength=1 << BUCKET_BITS)
+        carry = codes[1 - max(ORDERS) :]
+    return sums if seen else None
 
 
 @dataclass
@@ -80,13 +98,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, name in zip(batch.column(0), batch.column(1), strict=True):
-                codes = _codes(t.as_py())
+                own = _counts(t.as_py())
                 sums = found.setdefault(name.as_py(), np.zeros((1 << BUCKET_BITS) + 1, dtype=np.int64))
                 if len(found) > MAX_LANGUAGES:
                     raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 sums[-1] += 1
-                for g in _grams(codes):
-                    sums[:-1] += np.bincount(g, minlength=1 << BUCKET_BITS)
+                if own is not None:
+                    sums[:-1] += own
         for name, sums in found.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(sums[at])], ["lang", "bucket", "n"])
@@ -105,33 +123,51 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(names, np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * size)), np.log(texts / max(1.0, texts.sum())))
 
 
+def _products(group: list[np.ndarray], m: Model) -> np.ndarray:
+    """Texts x languages: the rows of counts of n-grams times the matrix of log-probabilities, for texts with a letter."""
+    grams = [np.concatenate(list(_grams(c))) for c in group]
+    start = np.cumsum([0, *map(len, grams[:-1])])
+    flat = np.concatenate(grams)
+    return np.stack([np.add.reduceat(w.take(flat), start) for w in m.weights], axis=1) + m.priors
+
+
+def scores(texts: Sequence[str | None], m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text. Short texts go together, up to PIECE characters; the counts of a long one are summed
+    piece by piece first, so memory doesn't grow with texts or batches."""
+    names, out = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+
+    def put(at: list[int], sums: np.ndarray) -> None:
+        names[at] = np.array(m.names, dtype=object)[sums.argmax(1)]
+        out[at] = np.round(1 / np.exp(np.minimum(sums - sums.max(1, keepdims=True), 0)).sum(1), 6)
+
+    held: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for k, t in enumerate(texts if m.names else ()):
+        if t is not None and len(t) > PIECE:
+            if (own := _counts(t)) is not None:
+                put([k], (m.weights @ own + m.priors)[None])
+            continue
+        codes = _codes(t) if t is not None else ()
+        if not len(codes):
+            continue
+        if held and (size + len(codes) > PIECE or len(held) == 200):
+            put([i for i, _ in held], _products([c for _, c in held], m))
+            held, size = [], 0
+        held.append((k, codes))
+        size += len(codes)
+    if held:
+        put([i for i, _ in held], _products([c for _, c in held], m))
+    return names, out
+
+
 def predict(text: Column, model: Model) -> Column:
     """struct<lang_pred string, score double>; score is the posterior probability of the language."""
     shared = SparkContext.getOrCreate().broadcast(model)
 
-    def product(group: list[np.ndarray], m: Model) -> np.ndarray:
-        """Texts x languages: the rows of counts of n-grams times the matrix of log-probabilities, for texts with a letter."""
-        grams = [np.concatenate(list(_grams(c))) for c in group]
-        start = np.cumsum([0, *map(len, grams[:-1])])
-        flat = np.concatenate(grams)
-        return np.stack([np.add.reduceat(w.take(flat), start) for w in m.weights], axis=1) + m.priors
-
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        names, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-        held: list[tuple[int, np.ndarray]] = []
-        for k, t in enumerate([*texts, None]):
-            codes = _codes(t) if t is not None and m.names else ()
-            if len(codes):
-                held.append((k, codes))
-            if held and (k == len(texts) or sum(len(c) for _, c in held[-1:]) > PIECE or len(held) == 200):
-                sums = product([c for _, c in held], m)
-                at = [i for i, _ in held]
-                names[at] = np.array(m.names, dtype=object)[sums.argmax(1)]
-                scores[at] = np.round(1 / np.exp(np.minimum(sums - sums.max(1, keepdims=True), 0)).sum(1), 6)
-                held = []
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        names, found = scores(texts.tolist(), shared.value)
+        return pd.DataFrame({"lang_pred": names, "score": found})
 
     return scored(text)
 
