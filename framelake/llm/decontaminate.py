@@ -1,18 +1,16 @@
 """Operator 8, benchmark decontamination by greedy string tiling.
 
 Words are runs of letters, digits and underscores, lower-cased. Karp-Rabin hashes of MIN_TILE words find where a document
-and a benchmark item share a seed. For each such pair, equal seeds on one diagonal give the maximal matches; the longest is
-marked as a tile again and again, what it overlaps is cut to its unmarked part, until no match of MIN_TILE words is left.
-Tiles may stand in any order, so reordered passages count. A document is contaminated by an item whose words are covered
-to at least COVERAGE.
+and a benchmark item share a seed. For each such pair the longest match of unmarked words is marked as a tile again and
+again, by Karp-Rabin over what is still free, until no match of MIN_TILE words is left. Tiles may stand in any order, so
+reordered passages count. A document is contaminated by an item whose words are covered to at least COVERAGE.
 
 Items go to the tasks in blocks of at most about BLOCK_WORDS words; a larger benchmark takes more blocks, not larger ones.
-An item of fewer than
-MIN_TILE words is found only as a whole; items without words, null items and null texts match nothing. Repeated rows give repeated results."""
+An item of fewer than MIN_TILE words is found only as a whole; items without words, null items and null texts match nothing. Repeated rows give repeated results."""
 
 from __future__ import annotations
 
-import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,48 +24,88 @@ BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"\w+")
 HIT = "array<struct<item_id:bigint,coverage:double,n_tiles:int,covered_words:int,item_words:int>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Windows:
+    """Karp-Rabin hashes of word numbers, for windows of any length at once: sums of words times powers of an odd number,
+    brought back to the first power by its inverse, all modulo 2^64."""
+
+    def __init__(self, ids: np.ndarray) -> None:
+        self.ids = ids
+        self.back = np.full(len(ids) + 1, _INVERSE, dtype=np.uint64)
+        self.back[0] = 1
+        np.multiply.accumulate(self.back, out=self.back)
+        power = np.full(max(1, len(ids)), _BASE, dtype=np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * power[: len(ids)], dtype=np.uint64)])
+
+    def of(self, m: int) -> np.ndarray:
+        n = max(0, len(self.ids) - m + 1)
+        return (self.sums[m : m + n] - self.sums[:n]) * self.back[:n]
 
 
 def rolling(ids: np.ndarray, m: int = MIN_TILE) -> np.ndarray:
     """Karp-Rabin hashes of all windows of m word numbers."""
-    n = max(0, len(ids) - m + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(m):
-        h = h * _BASE + ids[k : k + n]
-    return h
+    return Windows(ids).of(m)
+
+
+def _whole(free: np.ndarray, m: int) -> np.ndarray:
+    """Whether all m places from each on are free."""
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    return taken[m:] == taken[: max(0, len(taken) - m)]
+
+
+def _longest(item: Windows, doc: Windows, free: np.ndarray, open_: np.ndarray, least: int, most: int) -> tuple[int, int, int] | None:
+    """(place in item, place in doc, length) of the longest match of free places, at least and at most so long. The length is
+    found by halving, since a match of any length holds shorter ones; equal hashes are compared word by word."""
+
+    def match(m: int) -> tuple[int, int, int] | None:
+        own, other = np.flatnonzero(_whole(free, m)), np.flatnonzero(_whole(open_, m))
+        if not len(own) or not len(other):
+            return None
+        a, b = item.of(m)[own], doc.of(m)[other]
+        for p, h in zip(own[(hit := np.isin(a, b))].tolist(), a[hit], strict=True):
+            for t in other[b == h].tolist():
+                if (item.ids[p : p + m] == doc.ids[t : t + m]).all():
+                    return p, t, m
+        return None
+
+    best = match(least)
+    low, high = least, most
+    while best and low < high:
+        m = (low + high + 1) // 2
+        if got := match(m):
+            best, low = got, m
+        else:
+            high = m - 1
+    return best
 
 
-def tiles(item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, least: int = 0) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the tiles, longest first; ties by place in item, then doc. An item shorter
-    than MIN_TILE is a tile as a whole."""
+    than MIN_TILE is a tile as a whole. None if fewer than `least` words of the item stand in any seed.
+
+    Karp-Rabin runs anew for each tile over the places that are still free, so a repeated seed makes no list of pairs: time
+    is the number of tiles times the length of the item and of those parts of the document that hold seeds."""
     if not (m := min(MIN_TILE, len(item))):
         return []
-    places: dict[int, list[int]] = {}
-    for p, h in enumerate(rolling(item, m).tolist()):
-        places.setdefault(h, []).append(p)
-    windows = rolling(doc, m)
-    at = np.flatnonzero(np.isin(windows, np.fromiter(places, np.uint64, len(places))))
-    pairs = sorted((t - p, p) for t in at.tolist() for p in places[int(windows[t])] if (item[p : p + m] == doc[t : t + m]).all())
-    heap: list[tuple[int, int, int]] = []
-    for k, (d, p) in enumerate(pairs):
-        if k and pairs[k - 1] == (d, p - 1):
-            n, p0, d0 = heap[-1]
-            heap[-1] = (n - 1, p0, d0)
-        else:
-            heap.append((-m, p, d + p))
-    heapq.heapify(heap)
-    in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    while heap:
-        n, p, t = heapq.heappop(heap)
-        free = ~(in_item[p : p - n] | in_doc[t : t - n])
-        if free.all():
-            in_item[p : p - n] = in_doc[t : t - n] = True
-            out.append((p, t, -n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.astype(np.int8), [0]])))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= m:
-                heapq.heappush(heap, (a - b, p + a, t + a))
+    own = Windows(item)
+    a, b = own.of(m), rolling(doc, m)
+    seeds = lambda hit, n: np.cumsum(np.bincount(np.flatnonzero(hit), minlength=n + 1)[:n] - np.bincount(np.flatnonzero(hit) + m, minlength=n + 1)[:n]) > 0
+    in_item, in_doc = seeds(np.isin(a, b), len(item)), seeds(np.isin(b, a), len(doc))
+    if in_item.sum() < max(1, least):
+        return []
+    # the parts of the document with seeds, one after the other, each followed by a place that is never free
+    place = np.flatnonzero(in_doc | np.concatenate([[False], in_doc[:-1]]))
+    open_ = in_doc[place]
+    part, free, out = Windows(doc[place]), in_item.copy(), []
+    longest = len(item)
+    while found := _longest(own, part, free, open_, m, longest):
+        p, t, longest = found
+        free[p : p + longest] = open_[t : t + longest] = False
+        out.append((p, int(place[t]), longest))
     return out
 
 
@@ -80,8 +118,10 @@ def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
         if some:
             seeds = np.concatenate([rolling(numbered[k][1], m) for k in some])
             owner = np.repeat(some, [len(numbered[k][1]) - m + 1 for k in some])
-            order = np.argsort(seeds, kind="stable")
-            by_length[m] = seeds[order], owner[order], np.unique(seeds)
+            order = np.lexsort((owner, seeds))
+            seeds, owner = seeds[order], owner[order]
+            once = np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (owner[1:] != owner[:-1])])  # a seed names an item once
+            by_length[m] = seeds[once], owner[once], np.unique(seeds)
 
     @F.pandas_udf(HIT)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -102,7 +142,7 @@ def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
                 if owners:
                     for k in sorted(owners):
                         i, item = numbered[k]
-                        got = tiles(item, doc)
+                        got = tiles(item, doc, math.ceil(COVERAGE * len(item)))
                         covered = sum(x[2] for x in got)
                         if covered >= COVERAGE * len(item):
                             hits.append({"item_id": i, "coverage": round(covered / len(item), 6), "n_tiles": len(got), "covered_words": covered, "item_words": len(item)})
