@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import release
+
 CUT_BITS = 9  # chunks of 512 characters on average
 LEAST = 64  # characters of the inner part of a chunk
 MAX_WORDS, MAX_CHUNKS = 80_000, 5_000
@@ -230,6 +232,7 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) ->
             out += map(row, encode_texts(group, encoder))
             yield pd.DataFrame(out, columns=names)
         encoder.words = {}  # a worker lives on and runs other operators; chunks stay
+        release()
 
     return run
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -67,6 +70,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, made)
 
 
+def release() -> None:
+    """Gives memory that isn't used any more back to the machine; workers live on and run other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow or an iterator of a UDF that releases memory at the end of its task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo by; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % by

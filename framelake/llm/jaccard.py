@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import components, join_hot, joined_rows, scratch, written
+from framelake.llm.common import components, join_hot, joined_rows, lean, scratch, written
 
 WORDS, PERCENT = 5, 80
 SKETCH = 1 << 22
@@ -136,7 +136,7 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
                     ["shingle", "d", "n", "last", "common"],
                 )
 
-    rows = docs.mapInArrow(entries, "shingle long, d long, n int, last int, common boolean")
+    rows = docs.mapInArrow(lean(entries), "shingle long, d long, n int, last int, common boolean")
     # columns of a single class go; rows of common cells stay and are spread, so that no group here has over COMMON rows
     w = Window.partitionBy("shingle", "salt")
     rows = rows.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("d"), F.lit(1009))).otherwise(0))
@@ -160,7 +160,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [s for _, s in _sets(batch) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["d", "s"])
 
-    found = docs.select("doc_id", "text", bit.alias("at")).mapInArrow(chosen, "d long, s binary")
+    found = docs.select("doc_id", "text", bit.alias("at")).mapInArrow(lean(chosen), "d long, s binary")
     return found.groupBy("d").agg(F.first("s").alias("s")).join(wanted.select("d"), "d", "left_semi")
 
 
@@ -258,7 +258,7 @@ def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
         yield batch_of()
 
     rows = blocks.join(homes.select("d", "n", "last", "columns"), "d").select("i", "j", "side", "own", "d", "n", "last", "columns")
-    found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "i long, j long, g long, side int, own boolean, d long")
+    found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(lean(product), "i long, j long, g long, side int, own boolean, d long")
     return found.select(F.xxhash64("i", "j").alias("i"), F.col("g").alias("j"), "side", "own", "d")
 
 
@@ -287,7 +287,7 @@ def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = blocks.join(sets, "d").select("i", "j", "side", "own", "d", "s")
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(product, "a long, b long")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(lean(product), "a long, b long")
 
 
 def _placed(rows: DataFrame, roots: DataFrame | None, d: str = "d", c: str = "c") -> DataFrame:
@@ -404,7 +404,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(docs.sparkSession):
-        survey = written(docs.mapInArrow(_survey, "kind int, a long, n long, d long"))
+        survey = written(docs.mapInArrow(lean(_survey), "kind int, a long, n long, d long"))
         rows = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "d")
         classes = written(rows.filter("d is not null").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
         joined = written(_placed(classes, _classes_joined(docs, survey, classes), "d", "root"))

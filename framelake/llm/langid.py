@@ -21,7 +21,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import remainder, scratch, written
+from framelake.llm.common import lean, release, remainder, scratch, written
 
 BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
@@ -111,7 +111,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null")
     with scratch(docs.sparkSession):
-        sums = written(rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+        sums = written(rows.mapInArrow(lean(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
         if (names := sums.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()) > MAX_LANGUAGES:
             raise ValueError(f"{names} languages; at most {MAX_LANGUAGES}")
         got = sums.toPandas()  # at most languages x buckets rows
@@ -165,9 +165,11 @@ def predict(text: Column, model: Model) -> Column:
     shared = SparkContext.getOrCreate().broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        names, found = scores(texts.tolist(), shared.value)
-        return pd.DataFrame({"lang_pred": names, "score": found})
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, found = scores(texts.tolist(), shared.value)
+            yield pd.DataFrame({"lang_pred": names, "score": found})
+        release()
 
     return scored(text)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import join_hot, maybe_in, scratch, written
+from framelake.llm.common import join_hot, lean, maybe_in, scratch, written
 
 MIN_WORDS = 20
 STOP = re.compile(r"(?:[.!?](?=\s)|\n)[^\S\n]*\n?")  # where a unit ends
@@ -82,14 +82,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to the removed ranges: row, doc_id, start, end, words, first_doc_id."""
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(docs.sparkSession):
-        units = written(rows.mapInArrow(_units, "row long, doc_id long, start int, end int, words int, key long, again boolean, seq int"))
+        units = written(rows.mapInArrow(lean(_units), "row long, doc_id long, start int, end int, words int, key long, again boolean, seq int"))
         counts = units.groupBy("key").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
         counts = written(counts)
         found = written(units.filter(maybe_in(counts, "key")(F.col("key"))))
         found = join_hot(found, counts, "key").filter(F.col("again") | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
         one = F.struct("seq", "start", "end", "words", "first_doc_id")
         by_row = found.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(one)).alias("u"))
-        return written(by_row.mapInArrow(_runs, "row long, doc_id long, start int, end int, words int, first_doc_id long"), keep=True)
+        return written(by_row.mapInArrow(lean(_runs), "row long, doc_id long, start int, end int, words int, first_doc_id long"), keep=True)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
