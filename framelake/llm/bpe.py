@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import release
 
-CUT_BITS = 9  # chunks of 512 characters on average
+CUT_BITS = 10  # chunks of 1,024 characters on average
 LEAST = 64  # characters of the inner part of a chunk
-MAX_WORDS, MAX_CHUNKS = 80_000, 5_000
+MAX_WORDS, MAX_CHUNKS = 125_000, 5_000
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: letters, then other signs without an apostrophe: one pre-token for either, whatever stands around the word
@@ -71,6 +71,7 @@ class Encoder:
         self.tokens = [b" " + t.encode() for t in tokens]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
         self.words: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
         self.chunks: dict[bytes, Chunk] = {}
 
     def piece(self, ids: list[int]) -> Piece:
@@ -81,9 +82,15 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, plain ones in lines of many: the ends of their pre-tokens tell them apart."""
-        if len(self.words) > MAX_WORDS:  # those of the texts at hand stay
-            self.words = {w: x for w in words if (x := self.words.get(w))}
-        new = [w for w in words if w not in self.words]
+        if len(self.words) > MAX_WORDS:  # words that don't come again before the next time go
+            self.old, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                if (x := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.words[w] = x
         plain = [(w, 1 + bool(m[2])) for w in new if (m := PLAIN.fullmatch(w))]
         for at in range(0, len(plain), 20_000):
             lines = [plain[k : k + 100] for k in range(at, min(at + 20_000, len(plain)), 100)]
@@ -231,7 +238,7 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) ->
                     group, size = [], 0
             out += map(row, encode_texts(group, encoder))
             yield pd.DataFrame(out, columns=names)
-        encoder.words = {}  # a worker lives on and runs other operators; chunks stay
+        encoder.words, encoder.old = {}, {}  # a worker lives on and runs other operators; chunks stay
         release()
 
     return run
