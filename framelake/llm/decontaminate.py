@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import release
+
 MIN_TILE, COVERAGE = 5, 0.5
 BLOCK_WORDS = 1_000_000
 WORD = re.compile(r"\w+")
@@ -148,6 +150,7 @@ def _hits(items: list[tuple[int, list[str]]], text: Column) -> Column:
                             hits.append({"item_id": i, "coverage": round(covered / len(item), 6), "n_tiles": len(got), "covered_words": covered, "item_words": len(item)})
                 out.append(hits)
             yield pd.Series(out)
+        release()
 
     return found(text)
 
