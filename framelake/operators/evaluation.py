@@ -39,6 +39,20 @@ def frechet(left: DataFrame, right: DataFrame, by: list[str], eps: float = 1e-6)
     return both.mapInPandas(run, ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in by) + ", distance double")
 
 
+def suite(pairs: DataFrame, by: list[str], truth: str, guess: str, tolerance: float) -> DataFrame:
+    """All metrics of predicted chunks (arrays of steps of numbers) in one pass and one aggregation: n, mse and mae over all
+    numbers, final_mse over the last step, worst difference, and mismatch, the share of chunks with one above tolerance."""
+    errors = F.zip_with(truth, guess, lambda a, b: F.zip_with(a, b, lambda x, y: x - y))
+    df = pairs.select(*by, errors.alias("_e")).withColumn("_all", F.flatten("_e"))
+    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x)) / F.size(a)
+    worst = F.array_max(F.transform("_all", lambda x: F.abs(x)))
+    each = df.select(*by, mean(F.col("_all"), lambda x: x * x).alias("mse"), mean(F.col("_all"), lambda x: F.abs(x)).alias("mae"), mean(F.element_at("_e", -1), lambda x: x * x).alias("last"), worst.alias("worst"))
+    return each.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("mse").alias("mse"), F.avg("mae").alias("mae"), F.avg("last").alias("final_mse"), F.max("worst").alias("worst"),
+        F.avg((F.col("worst") > tolerance).cast("double")).alias("mismatch"),
+    )
+
+
 def reverse_kl(samples: DataFrame, by: str, x: str, target: str) -> DataFrame:
     """For each group of samples of one target: mean of log q - log p with unit Gaussians around the samples and the target.
     Every sample meets the others of its group, which is the estimator's definition; a group is one prediction's samples."""

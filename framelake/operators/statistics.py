@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,27 @@ def norm_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     )
 
 
+STATS = ("mean", "std", "min", "max", "median", "q1", "q99", "q0_01", "q99_99")
+
+
+def save_stats(stats: DataFrame, embodiment: str, key: str, dim: str, path: str, mode: str = "errorifexists") -> None:
+    """norm_stats() by embodiment, key and dimension as JSON: a line {embodiment, stats: {key: {statistic: [a number for each
+    dimension]}}} for each embodiment. A document is as large as an embodiment has keys and dimensions."""
+    lists = stats.groupBy(embodiment, key).agg(F.sort_array(F.collect_list(F.struct(dim, *STATS))).alias("_d"))
+    named = F.struct(*[F.col(f"_d.{c}").alias(c) for c in STATS])
+    docs = lists.groupBy(embodiment).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), named))).alias("stats"))
+    docs.select(F.col(embodiment).alias("embodiment"), "stats").write.mode(mode).json(path)
+
+
+def load_stats(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """What save_stats() wrote, as rows: the two columns of names (as in 'label int, key string'), dim and STATS."""
+    (first, kind), (second, other) = (x.split() for x in names.split(", "))
+    lists = ", ".join(f"{c}: array<double>" for c in STATS)
+    docs = spark.read.schema(f"embodiment {kind}, stats map<string, struct<{lists}>>").json(path)
+    rows = docs.select(F.col("embodiment").alias(first), F.explode("stats").alias(second, "_s")).withColumn(second, F.col(second).cast(other))
+    return rows.select(first, second, F.posexplode(F.arrays_zip(*[F.col(f"_s.{c}").alias(c) for c in STATS])).alias("dim", "_z")).select(first, second, "dim", "_z.*")
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if k == "double" and c not in ("min", "max") else F.col(c) for c, k in df.dtypes])
 
