@@ -80,11 +80,13 @@ def motion_variance(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).withColumn("dv", step).groupBy("episode").agg(F.round(F.var_samp("value"), 4).alias("var_value"), F.round(F.var_samp("dv"), 4).alias("var_step"))
 
 
-@query("A15", """WITH h AS (SELECT event_type, least(49, CAST(floor(value / 4) AS INTEGER)) AS bin FROM events WHERE value BETWEEN 0 AND 200),
+@query("A15", """WITH w AS (SELECT event_type, value FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT min(value) AS lo, max(value) AS hi FROM w),
+h AS (SELECT event_type, least(49, CAST(floor((value - lo) * 50 / (hi - lo)) AS INTEGER)) AS bin FROM w, r),
 p AS (SELECT bin, count(*) / sum(count(*)) OVER () AS s FROM h WHERE event_type = 'click' GROUP BY bin), q AS (SELECT bin, count(*) / sum(count(*)) OVER () AS s FROM h WHERE event_type = 'view' GROUP BY bin),
 j AS (SELECT coalesce(p.s, 0) + 1e-10 AS p, coalesce(q.s, 0) + 1e-10 AS q FROM p FULL JOIN q ON p.bin = q.bin), n AS (SELECT p / sum(p) OVER () AS p, q / sum(q) OVER () AS q FROM j) SELECT round(sum(p * ln(p / q)), 6) AS kl FROM n""")
 def histogram_divergence(spark: SparkSession, d: str) -> DataFrame:
-    h = S.histogram(load(spark, d, "events"), ["event_type"], "value", 0.0, 200.0, 50)
+    """All values of both kinds in bins with shared edges, from their smallest to their largest."""
+    h = S.shared_histogram(load(spark, d, "events").filter("event_type IN ('click', 'view')"), ["event_type"], "value", 50)
     one = lambda k: h.filter(F.col("event_type") == k).select("bin", "n")
     return S.kl_divergence(one("click"), one("view"), "bin").select(F.round("kl", 6).alias("kl"))
 
