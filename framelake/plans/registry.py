@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "chunk_norm_stats"
-MODULES = ["episodes", "frames", "statistics", "arrays", "scalars", "quality", "streams", "evaluation", "selection", "recordings", "pairing", "nested", "chunk_ends", "motion", "hands", "stores", "validation"]
+MODULES = ["episodes", "frames", "statistics", "arrays", "scalars", "quality", "streams", "evaluation", "selection", "recordings", "pairing", "nested", "chunk_ends", "motion", "hands", "stores", "validation", "reports"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
