@@ -29,7 +29,7 @@ def substitutes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("K24 X26", """WITH s AS (SELECT o_orderpriority AS p, count(*) FILTER (o_orderstatus = 'O') / count(*)::DOUBLE AS a, CASE WHEN o_orderpriority LIKE '5%' THEN NULL ELSE count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE END AS b FROM orders GROUP BY o_orderpriority),
-t AS (SELECT p, a, b, printf('%.1f', a * 100) AS x, printf('%.1f', b * 100) AS y FROM s)
+t AS (SELECT p, a, b, printf('%.1f', round(a * 100, 1)) AS x, printf('%.1f', round(b * 100, 1)) AS y FROM s)
 SELECT p AS task, replace(p, '-', ' ') || ' & ' || CASE WHEN a >= coalesce(b, a) THEN '\\textbf{' || x || '}' ELSE x END || ' & ' || CASE WHEN b IS NULL THEN '--' WHEN b >= a THEN '\\textbf{' || y || '}' ELSE y END || ' \\\\' AS line FROM t""")
 def table_lines(spark: SparkSession, d: str) -> DataFrame:
     """Shares of two kinds of orders side by side as lines of a table."""
