@@ -70,6 +70,7 @@ class Encoder:
         self.ids = [b" %d" % k for k in range(len(tokens))]
         self.tokens = [b" " + t.encode() for t in tokens]
         self.ends = np.array([t.endswith("</w>") for t in tokens])
+        self.most = MAX_WORDS
         self.words: dict[str, Piece] = {}
         self.old: dict[str, Piece] = {}
         self.chunks: dict[bytes, Chunk] = {}
@@ -82,7 +83,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encodes new words, plain ones in lines of many: the ends of their pre-tokens tell them apart."""
-        if len(self.words) > MAX_WORDS:  # words that don't come again before the next time go
+        if len(self.words) > self.most:  # words that don't come again before the next time go
             self.old, self.words = self.words, {}
         new = []
         for w in words:
@@ -223,10 +224,11 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) -> Callable[[Column], Column]:
+def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple], words: int) -> Callable[[Column], Column]:
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path())
+        encoder.most = words
         names = [x.split()[0] for x in schema.split(", ")]
         for texts in batches:
             out, group, size = [], [], 0
@@ -244,15 +246,16 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple]) ->
     return run
 
 
-def encode(text: Column, path: Callable[[], str]) -> Column:
-    """struct<ids array<int>, decoded string> of a text column."""
-    return _udf(path, "ids array<int>, decoded string", lambda x: ([int(i) for i in x[1].split()], x[2][1:].decode()))(text)
+def encode(text: Column, path: Callable[[], str], words: int = MAX_WORDS) -> Column:
+    """struct<ids array<int>, decoded string> of a text column. words: of so many words, twice, a worker keeps the pieces;
+    more save encoding, about a kilobyte each, and results don't depend on it."""
+    return _udf(path, "ids array<int>, decoded string", lambda x: ([int(i) for i in x[1].split()], x[2][1:].decode()), words)(text)
 
 
-def digests(text: Column, path: Callable[[], str]) -> Column:
+def digests(text: Column, path: Callable[[], str], words: int = MAX_WORDS) -> Column:
     """struct<n_tokens long, ids_sha256 string, decoded_sha256 string> of a text column."""
     sha = lambda b: hashlib.sha256(b[1:]).hexdigest()
-    return _udf(path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda x: (x[0], sha(x[1]), sha(x[2])))(text)
+    return _udf(path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda x: (x[0], sha(x[1]), sha(x[2])), words)(text)
 
 
 def vocabulary() -> str:
