@@ -99,4 +99,4 @@ def test_run_and_empty(spark, stages, tmp_path):
 def test_every_operator_has_a_query():
     from framelake.llm import queries
 
-    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 14))
