@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.scratch import steps
+
 
 def norm_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, population deviation, extremes and interpolated quantiles of the non-NaN values of each group."""
@@ -46,13 +48,15 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def running_offset(df: DataFrame, key: str, n: str, out: str, blocks: int = 64) -> DataFrame:
     """Sum of n over all smaller keys. Blocks by range: sums inside each, and the sums of whole blocks before it, so no
-    task sees all rows."""
-    ranged = df.repartitionByRange(blocks, key).withColumn("_b", F.spark_partition_id())
-    w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("_in", F.coalesce(F.sum(n).over(w), F.lit(0)))
-    total = ranged.groupBy("_b").agg(F.sum(n).alias("_s"))  # one row for each block
-    before = total.alias("x").join(F.broadcast(total.alias("y")), F.col("y._b") < F.col("x._b"), "left").groupBy(F.col("x._b").alias("_b")).agg(F.coalesce(F.sum("y._s"), F.lit(0)).alias("_before"))
-    return inside.join(F.broadcast(before), "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_b", "_in", "_before")
+    task sees all rows. The ranged rows are written once, so both sums are over the same blocks."""
+    with steps(df.sparkSession) as own:
+        ranged = own.written(df.repartitionByRange(blocks, key).withColumn("_b", F.spark_partition_id()))
+        w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        inside = ranged.withColumn("_in", F.coalesce(F.sum(n).over(w), F.lit(0)))
+        total = ranged.groupBy("_b").agg(F.sum(n).alias("_s"))  # one row for each block
+        order = Window.partitionBy(F.lit(0)).orderBy("_b")
+        before = total.select("_b", (F.sum("_s").over(order) - F.col("_s")).alias("_before"))
+        return own.result(inside.join(F.broadcast(before), "_b").withColumn(out, F.col("_in") + F.coalesce("_before", F.lit(0))).drop("_b", "_in", "_before"))
 
 
 def normalize(x: Column, stats: Column, mode: str) -> Column:
