@@ -75,6 +75,21 @@ def by_key_map(df: DataFrame, keys: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for new, old in keys.items()])
 
 
+# The keys of alignment training, each with its kind and where it is stored.
+ALIGNMENT = {
+    "actions_cartesian": ("action_keys", "actions_cartesian"),
+    "dino_front_1": ("proprio_keys", "dino.front_img_1"),
+    "annotations": ("annotation_keys", "annotations"),
+}
+#: kinds that a view of actions alone leaves out
+SEEN_OR_SAID = ("camera_keys", "annotation_keys")
+
+
+def by_kinds(df: DataFrame, keys: dict[str, tuple[str, str]], index: Sequence[str], leave_out: Sequence[str] = ()) -> DataFrame:
+    """index and the columns of a key map (name to kind and storage key) under their names, but for kinds that are left out."""
+    return df.select(*index, *[F.col(f"`{at}`").alias(name) for name, (kind, at) in keys.items() if kind not in leave_out])
+
+
 def without(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.drop(*keys)
 

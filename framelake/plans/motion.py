@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import packing as P
+from framelake.operators import selection as S
 from framelake.operators import windows as W
 from framelake.plans.arrays import _poses, _vectors
 from framelake.plans.registry import query
@@ -81,3 +82,21 @@ def pauses_of_bodies(spark: SparkSession, d: str) -> DataFrame:
     df = W.pause_keep(df, F.col("still"))
     kept = W.renumber(df.filter("keep")).select("episode", "t", "kept_idx")
     return df.select("episode", "t", "still", "keep").join(kept, ["episode", "t"], "left")
+
+
+@query("B12 F9 F11", """WITH e AS (
+  SELECT label AS episode, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, count(*) OVER (PARTITION BY label) AS n, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.episode, a.t, 5 AS steps, round(z.v[15], 6) AS last_x, round(list_sum(a.v[1:8]), 6) AS image, 'step ' || a.t AS annotation, 'actions_cartesian,dino_front_1' AS actions_only
+FROM e a JOIN e z ON z.episode = a.episode AND z.t = least(a.t + 4, a.n - 1)""")
+def alignment_view(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of actions, embeddings of images and annotations by the key map of alignment training, and its view of actions
+    alone."""
+    df = W.chunk(_poses(spark, d).join(_vectors(spark, d).select("vec_id", "v"), "vec_id"), "left_cmd", 5, "actions_cartesian")
+    df = df.withColumn("dino.front_img_1", F.slice("v", 1, 8)).withColumn("annotations", F.concat(F.lit("step "), F.col("t").cast("string")))
+    view = S.by_kinds(df, S.ALIGNMENT, ["episode", "t"])
+    alone = S.by_kinds(df, S.ALIGNMENT, [], S.SEEN_OR_SAID).columns
+    total = F.aggregate("dino_front_1", F.lit(0.0), lambda s, x: s + x)
+    return view.select(
+        "episode", "t", F.size("actions_cartesian").alias("steps"), F.round(F.element_at("actions_cartesian", -1)[0], 6).alias("last_x"), F.round(total, 6).alias("image"),
+        F.col("annotations").alias("annotation"), F.lit(",".join(alone)).alias("actions_only"),
+    )
