@@ -61,9 +61,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consecutive repeats of a text, joined."""
     for batch in batches:
         out = []
-        for row, doc, units in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for row, doc, units in zip(*(batch.column(k) for k in range(3)), strict=True):  # the units of one text at a time
+            row, doc = row.as_py(), doc.as_py()
             run: list[dict] = []
-            for u in [*units, None]:
+            for u in [*units.as_py(), None]:
                 if run and (u is None or u["seq"] != run[-1]["seq"] + 1):
                     if (n := sum(x["words"] for x in run)) >= MIN_WORDS:
                         out.append((row, doc, run[0]["start"], run[-1]["end"], n, run[0]["first_doc_id"]))
