@@ -145,12 +145,14 @@ def size_batches(df: DataFrame, by: str, order: list[str], size: str, target: fl
 
 
 def nearest_value(left: DataFrame, right: DataFrame, by: str, key: str, x: str) -> DataFrame:
-    """For each left row the right row of its group whose x is nearest (the smaller one of two as near): other. One sort of
-    both sides, as for a join in time."""
+    """For each left row the right row of its group whose x is nearest, of rows as near the one with the smallest key: other.
+    Both sides are sorted up and down, as for a join in time, and no window looks ahead. A null x has no nearest row."""
+    right = right.filter(F.col(x).isNotNull()).groupBy(by, x).agg(F.min(key).alias(key))
     both = left.select(by, key, x, F.lit(1).alias("_side")).unionByName(right.select(by, key, x, F.lit(0).alias("_side")))
     both = both.withColumn("_m", F.when(F.col("_side") == 0, F.struct(F.col(x).alias("x"), F.col(key).alias("k"))))
-    w = Window.partitionBy(by).orderBy(x, "_side", key)
-    back, ahead = F.last("_m", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_m", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = lambda *order: F.last("_m", True).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = last(x, "_side"), last(F.desc(x), "_side")
     out = both.withColumn("_b", back).withColumn("_a", ahead).filter("_side = 1")
-    near = F.when(F.col("_a").isNull() | (F.col(x) - F.col("_b.x") <= F.col("_a.x") - F.col(x)), F.col("_b")).otherwise(F.col("_a"))
-    return out.select(by, key, near["k"].alias("other"))
+    below, above = F.col(x) - F.col("_b.x"), F.col("_a.x") - F.col(x)
+    near = F.when(F.col("_a").isNull() | (below < above), F.col("_b.k")).when(F.col("_b").isNull() | (above < below), F.col("_a.k")).otherwise(F.least("_a.k", "_b.k"))
+    return out.select(by, key, F.when(F.col(x).isNotNull(), near).alias("other"))
