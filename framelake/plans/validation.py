@@ -33,7 +33,9 @@ def _episodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
     )
     arrays = df.withColumn("size", size).select("episode", "t", F.explode(keys).alias("a")).select("episode", "t", "a.*").filter("episode <> 1 OR name = 'left.obs_ee_pose'")
     images = df.filter(even).select("episode", "t", F.lit("images.front_1").alias("name"), F.lit(None).cast("array<double>").alias("value"))
-    end = F.col("t") + F.when(F.col("vec_id") % 29 == 0, 1000).otherwise(0)
+    # behind the last frame however many there are
+    df = df.join(meta, "episode")
+    end = F.col("t") + F.when(F.col("vec_id") % 29 == 0, F.col("n") + 1000).otherwise(0)
     record = F.when(F.col("vec_id") % 31 == 0, "[1]").when(F.col("vec_id") % 37 == 0, F.to_json(F.struct(F.lit(1).alias("text"), F.col("t").alias("start_idx"), end.alias("end_idx")))).when(F.col("vec_id") % 41 == 0, '{"text": "a", "end_idx": 1}').otherwise(F.to_json(F.struct(F.lit("go").alias("text"), F.col("t").alias("start_idx"), end.alias("end_idx"))))
     notes = df.select("episode", F.lit("annotations").alias("name"), F.col("t").alias("ordinal"), record.alias("record"))
     return episodes, arrays.unionByName(images), notes

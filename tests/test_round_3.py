@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 from framelake.operators import statistics as S
+from framelake.plans import registry
+
+registry.load()
 
 
 def test_the_nearest_of_equal_values_has_the_smallest_key(spark):
     left = spark.createDataFrame([(0, 2, 1.0), (0, 4, 0.5), (0, 6, 2.0), (0, 8, 1.5), (0, 10, None)], "g int, k int, x double")
     right = spark.createDataFrame([(0, 9, 1.0), (0, 1, 1.0), (0, 5, 1.0), (0, 3, 2.0), (0, 11, 2.0), (0, 7, None)], "g int, k int, x double")
     assert {r["k"]: r["other"] for r in S.nearest_value(left, right, "g", "k", "x").collect()} == {2: 1, 4: 1, 6: 3, 8: 1, 10: None}
+
+
+def test_validated_episodes_of_more_than_a_thousand_frames(spark, tmp_path):
+    n = 2600
+    vectors = [[((k * 31 + i * 17) % 97 + 1) / 97.0 for i in range(64)] for k in range(n)]
+    pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "label": pa.array([1 + k % 2 for k in range(n)], pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = duck.sql(registry.ORACLES["validated_episodes"])
+    got = registry.QUERIES["validated_episodes"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
