@@ -16,13 +16,20 @@ def key_triple(key: Column) -> Column:
 
 def fallbacks(rows: DataFrame, by: str, key: str, failed: Column, seed: int = 42) -> DataFrame:
     """For each failed row another row of its group that didn't fail: by, key, other. In the order of a hash of the keys the
-    next one is taken, from the end on the first, so failed rows spread over all others; null where there is none."""
-    df = rows.select(by, key, failed.alias("_bad")).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    w = Window.partitionBy(by).orderBy("_h", key)
-    good = F.when(~F.col("_bad"), F.col(key))
-    after = F.first(good, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    start = F.first(good, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("other", F.coalesce(after, start)).filter("_bad").select(by, key, "other")
+    next one is taken, from the end on the first, so failed rows spread over all others; null where there is none. A group
+    is cut into blocks by the start of the hash, so no task sees all of a large one: the next good row is in the block, or
+    it is the first one of the blocks behind. Windows run backwards and on, never over all that follows."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    df = rows.select(by, key, failed.alias("_bad")).withColumn("_h", h).withColumn("_b", F.coalesce(F.substring("_h", 1, 2), F.lit("")))
+    good = ~F.col("_bad") & F.col(key).isNotNull()
+    behind = lambda c, *parts, order: F.last(c, True).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    firsts = df.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_at")).agg(F.min(F.when(good, F.struct("_h", key)))[key].alias("_first"))
+    least = F.first("_first", True).over(Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = firsts.withColumn("_next", F.coalesce(behind("_first", "_by", order=[F.desc("_at")]), least)).drop("_first")
+    inside = behind(F.when(good, F.col(key)), by, "_b", order=[F.desc("_h"), F.desc(key)])
+    found = df.withColumn("_in", inside).filter("_bad")
+    found = found.join(firsts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_at")))
+    return found.select(by, key, F.coalesce("_in", "_next").alias("other"))
 
 
 def table_rows(scores: DataFrame, row: str, first: str, second: str) -> DataFrame:

@@ -61,3 +61,23 @@ def test_the_library_works_without_the_training_data_operators(monkeypatch):
         assert set(entry.queries()) == set(registry.QUERIES) and entry.oracle_sql() == registry.ORACLES
     finally:
         entry._llm.cache_clear()
+
+
+def test_substitutes_go_on_behind_the_last_block(spark):
+    """One good row for thousands that failed is in few blocks of the hash; the order is that of a plain loop."""
+    import hashlib
+
+    rows = [(k % 3, k, k % 500 != 7) for k in range(6000)]
+    df = spark.createDataFrame(rows, "g int, k int, bad boolean")
+    found = R.fallbacks(df, "g", "k", F.col("bad"))
+    want = {}
+    for g in range(3):
+        own = sorted((hashlib.md5(f"42:{k}".encode()).hexdigest(), k, bad) for a, k, bad in rows if a == g)
+        first = after = next((k for _, k, bad in own if not bad), None)
+        for _, k, bad in reversed(own):
+            if bad:
+                want[k] = after
+            else:
+                after = k
+    assert {r["k"]: r["other"] for r in found.collect()} == want and first is not None
+    assert "1, unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()  # a frame that is read anew for each row
