@@ -73,13 +73,18 @@ def with_rewritten(files: DataFrame, suffix: str, companion: str) -> DataFrame:
 def groups(files: DataFrame, meta: str = "_meta.csv", main: str = ".vrs", side: str = ".json") -> DataFrame:
     """For each file of a listing (path) whose name ends in meta: meta_path, base, main_path and side_path. The main file
     stands in the same folder; its name is base + main, in lower or upper case, or else begins with base and ends in main in
-    any case (the first by name). A file without a main one is left out; side_path, the main path + side, may be null."""
+    any case (the first by name). A file without a main one is left out; side_path, the main path + side, may be null.
+
+    Nothing is compared pair by pair: a main file is joined by those starts of its name that are as long as some base in its
+    folder, at most as many as a name has characters, and only the best file for each start meets the metadata files."""
     f = files.select("path", _folder(F.col("path")).alias("_dir"), _name(F.col("path")).alias("_file"))
-    metas = f.filter(F.col("_file").endswith(meta)).select(F.col("path").alias("meta_path"), "_dir", F.expr(f"left(_file, length(_file) - {len(meta)})").alias("base"))
-    mains = f.filter(F.lower("_file").endswith(main)).select(F.col("path").alias("main_path"), "_dir", "_file")
-    exact = F.when(F.col("_file") == F.concat("base", F.lit(main)), 0).when(F.col("_file") == F.concat("base", F.lit(main.upper())), 1).otherwise(2)
+    metas = f.filter(F.col("_file").endswith(meta)).select(F.col("path").alias("meta_path"), "_dir", F.expr(f"left(_file, length(_file) - {len(meta)})").alias("base")).distinct()
+    lengths = metas.groupBy("_dir").agg(F.collect_set(F.length("base")).alias("_lengths"))
     stem = F.expr(f"left(_file, length(_file) - {len(main)})")
-    best = metas.join(mains, "_dir").filter(stem.startswith(F.col("base"))).groupBy("meta_path", "base").agg(F.min(F.struct(exact.alias("rank"), "main_path")).alias("_m"))
-    best = best.select("meta_path", "base", "_m.main_path").withColumn("side_path", F.concat("main_path", F.lit(side)))
+    mains = f.filter(F.lower("_file").endswith(main)).select(F.col("path").alias("main_path"), "_dir", "_file", stem.alias("_stem"))
+    starts = mains.join(lengths, "_dir").withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_stem")))).withColumn("base", F.expr("left(_stem, _n)"))
+    exact = F.when(F.col("_file") == F.concat("base", F.lit(main)), 0).when(F.col("_file") == F.concat("base", F.lit(main.upper())), 1).otherwise(2)
+    best = starts.groupBy("_dir", "base").agg(F.min(F.struct(exact.alias("rank"), "main_path")).alias("_m"))
+    best = metas.join(best, ["_dir", "base"]).select("meta_path", "base", "_m.main_path").withColumn("side_path", F.concat("main_path", F.lit(side)))
     there = files.select(F.col("path").alias("side_path"), F.lit(True).alias("_there"))
     return best.join(there, "side_path", "left").select("meta_path", "base", "main_path", F.when(F.col("_there"), F.col("side_path")).alias("side_path"))

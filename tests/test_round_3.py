@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from framelake.operators import statistics as S
 from framelake.plans import registry
+from framelake.sources import folders as D
 
 registry.load()
 
@@ -26,3 +27,11 @@ def test_validated_episodes_of_more_than_a_thousand_frames(spark, tmp_path):
     want = duck.sql(registry.ORACLES["validated_episodes"])
     got = registry.QUERIES["validated_episodes"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_file_groups_match_by_starts_of_names(spark):
+    names = ["/d/_meta.csv", "/d/a_meta.csv", "/d/ab_meta.csv", "/d/abc.vrs", "/d/ab-1.VRS", "/d/ab-1.VRS.json", "/d/a.Vrs", "/e/abc_meta.csv", "/e/ab.vrs", "/e/abc.VRS", "/e/abc.vrs", "/e/abc.vrs"]
+    found = D.groups(spark.createDataFrame([(n,) for n in names], "path string"))
+    assert sorted(map(tuple, found.collect())) == [("/d/_meta.csv", "", "/d/a.Vrs", None), ("/d/a_meta.csv", "a", "/d/a.Vrs", None), ("/d/ab_meta.csv", "ab", "/d/ab-1.VRS", "/d/ab-1.VRS.json"), ("/e/abc_meta.csv", "abc", "/e/abc.vrs", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in plan and "startswith" not in plan.lower()
