@@ -57,9 +57,12 @@ def spatial(rows: DataFrame, x: str, y: str, block: int = BLOCK) -> DataFrame:
     shares = F.array(*[F.lit(k / GRID) for k in range(1, GRID)])
     edges = df.groupBy("_by").agg(F.percentile_approx("_u", shares, 10_000).alias("_eu"), F.percentile_approx("_v", shares, 10_000).alias("_ev"))
     side = F.least(F.lit(GRID), F.ceil(F.sqrt(F.col("_rows") / block))).cast("long")
-    cell = lambda c, e: F.expr(f"CAST(size(filter({e}, q -> q <= {c})) AS BIGINT)") * F.col("_side") / GRID
-    df = df.join(edges, "_by").withColumn("_side", side)
-    df = df.withColumn("_cell", F.floor(cell("_u", "_eu")) * GRID + F.floor(cell("_v", "_ev")))
+    # of the edges a group keeps one less than it has cells on a side
+    few = lambda e: F.expr(f"transform(filter(sequence(0L, _side), k -> k BETWEEN 1 AND _side - 1), k -> element_at({e}, CAST(ceil(k * {GRID} / _side) AS INT)))").alias(e)
+    edges = edges.join(axes.select("_by", side.alias("_side")), "_by").select("_by", few("_eu"), few("_ev"))
+    cell = lambda c, e: F.expr(f"CAST(size(filter({e}, q -> q <= {c})) AS BIGINT)")
+    df = df.join(edges, "_by")
+    df = df.withColumn("_cell", cell("_u", "_eu") * GRID + cell("_v", "_ev"))
     full = df.groupBy("_by", "_cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
     df = df.join(full, ["_by", "_cell"])
     number = F.shiftleft(F.col("_cell"), 32) + F.pmod(F.xxhash64("_key"), F.col("_parts"))
