@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from conftest import DATA
 from framelake.operators import blocks as B
+from framelake.operators import embodiments as E
 from framelake.operators import information as N
 from framelake.operators import statistics as S
 from framelake.plans import registry
@@ -65,3 +67,14 @@ def test_single_numbers_are_counted_without_pairs_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(B, "on_pairs", lambda *a: runs.append(1) or whole(*a))
     df = spark.createDataFrame([(0, k, [float(k)], [float(k % 7)]) for k in range(50)], "g int, k int, x array<double>, y array<double>")
     assert N.reach_counts(df, "g", "k", "x", "y", 3).count() == 50 and len(runs) == 1
+
+
+def test_chunks_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        query = registry.QUERIES["robot_chunk_ends"](spark, DATA)
+        assert int(spark.conf.get(name)) <= E.PIECE and query.count() > 0
+    finally:
+        spark.conf.set(name, before)
