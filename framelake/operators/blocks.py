@@ -28,11 +28,14 @@ def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def on_pairs(left: DataFrame, right: DataFrame, visits: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, keep: Column | None = None) -> DataFrame:
     """run on the left rows of block _i and the right rows of block _j of a group, for each row (_by, _i, _j) of visits. keep
-    tells of a left row beside a row of visits whether the row is needed there."""
+    tells of a left row beside a row of visits whether the row is needed there. The pairs of blocks are dealt over all shuffle
+    partitions: they are small and their work isn't, so they aren't coalesced by size."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a = left.join(visits, ["_by", "_i"])
     a = (a if keep is None else a.filter(keep)).select(*left.columns, "_j")
     b = right.withColumnRenamed("_i", "_j").join(visits.select("_by", "_i", "_j"), ["_by", "_j"])
     b = b.select(F.col("_by").alias("_g"), F.col("_i").alias("_to"), F.col("_j").alias("_from"), *[c for c in right.columns if c not in ("_by", "_i")])
+    a, b = a.repartition(parts, "_by", "_i", "_j"), b.repartition(parts, "_g", "_to", "_from")
     return a.groupBy("_by", "_i", "_j").cogroup(b.groupBy("_g", "_to", "_from")).applyInPandas(run, schema)
 
 
