@@ -28,6 +28,32 @@ def flattened(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
 
 
+def _entries(c: Column, kind: T.DataType, path: Column | None, sep: str) -> list[Column]:
+    """Arrays of entries (path, value) of all leaves of c, whose own path is `path`."""
+    below = lambda name: name if path is None else F.concat(path, F.lit(sep), name)
+    if isinstance(kind, T.StructType):
+        return [e for f in kind for e in _entries(c.getField(f.name), f.dataType, below(F.lit(f.name)), sep)]
+    if isinstance(kind, T.ArrayType):
+        inside = lambda x, k: joined(_entries(x, kind.elementType, below(k.cast("string")), sep))
+        return [F.coalesce(F.flatten(F.transform(c, inside)), F.array().cast(_ENTRIES))]
+    return [F.array(F.struct((F.lit("") if path is None else path).alias("path"), c.cast("string").alias("value")))]
+
+
+_ENTRIES = "array<struct<path:string,value:string>>"
+
+
+def joined(parts: list[Column]) -> Column:
+    return F.concat(*parts) if parts else F.array().cast(_ENTRIES)
+
+
+def flattened_lists(df: DataFrame, keys: list[str], columns: list[str], sep: str = ".") -> DataFrame:
+    """keys, path and value: a row for each leaf of the columns, inside structs and lists to any depth of their schema, with
+    names and places joined by sep. Null and empty lists have none; a leaf, or a field of a struct, that is null has a null
+    value."""
+    parts = [_entries(F.col(f"`{c}`"), df.schema[c].dataType, F.lit(c), sep) for c in columns]
+    return df.select(*keys, F.explode(joined([e for p in parts for e in p])).alias("_leaf")).select(*keys, "_leaf.path", "_leaf.value")
+
+
 def mapped(df: DataFrame, kind: type[T.DataType], change) -> DataFrame:
     """change applied to every top-level column of a type."""
     return df.withColumns({f.name: change(F.col(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, kind)})

@@ -72,8 +72,7 @@ f AS (SELECT o_orderkey, 'head.o_orderpriority' AS path, o_orderpriority AS valu
 SELECT o_orderkey, path, CASE WHEN path LIKE '%rates%' THEN CAST(round(CAST(value AS DOUBLE), 4) AS VARCHAR) ELSE value END AS value FROM f""")
 def leaves_of_orders(spark: SparkSession, d: str) -> DataFrame:
     """Nested records, lists included, as rows of path and value."""
-    docs = _orders(spark, d).withColumn("doc", V.as_variant(["head", "lines"]))
-    rows = V.flattened(docs, ["o_orderkey"], "doc")
+    rows = N.flattened_lists(_orders(spark, d), ["o_orderkey"], ["head", "lines"])
     number = F.col("value").cast("double")
     value = F.when(F.col("path").like("%rates%"), F.round(number, 4).cast("string")).when(F.col("path").like("%quantity"), number.cast("long").cast("string")).otherwise(F.col("value"))
     return rows.withColumn("value", value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from framelake.functions import nested as L
 from framelake.operators import information as N
 from framelake.operators import pairing as P
 
@@ -56,3 +57,15 @@ def test_information_of_wide_rows_in_small_blocks(spark):
             of = lambda k: [max(int((d[i, ref] < near[k] * (1 - 1e-10)).sum()) - 1, 0) for d in (dx, dy)]  # noqa: E731, B023
             want = np.mean([h(k - 1) - sum(map(h, of(k))) + h(int(ref.sum()) - 1) for k in (3, 5)])
             assert got[i] == pytest.approx(want)
+
+
+def test_leaves_of_lists_follow_the_schema(spark):
+    kind = "k int, a struct<s: string, l: array<struct<v: double, w: array<array<int>>>>>, b array<string>"
+    rows = [(1, ("x", [(1.5, [[1, 2], [], None, [3]]), (None, []), None]), ["p", None]), (2, None, None), (3, (None, []), [])]
+    df = L.flattened_lists(spark.createDataFrame(rows, kind), ["k"], ["a", "b"])
+    got = {(r["k"], r["path"]): r["value"] for r in df.collect()}
+    assert got == {
+        (1, "a.s"): "x", (1, "a.l.0.v"): "1.5", (1, "a.l.0.w.0.0"): "1", (1, "a.l.0.w.0.1"): "2", (1, "a.l.0.w.3.0"): "3", (1, "a.l.1.v"): None, (1, "a.l.2.v"): None,
+        (1, "b.0"): "p", (1, "b.1"): None, (2, "a.s"): None, (3, "a.s"): None,
+    }
+    assert "variant" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
