@@ -11,8 +11,8 @@ and pairs below what their sizes ask for are discarded. The sets of the others a
 A column that more than HOT classes share isn't paired row by row. Each class belongs to the largest column of its prefix,
 its home; homes are cut to parts of at most BLOCK sets. In turns the members of a part are multiplied with each other and
 with LEADERS random members of the column, and what links is contracted to components. Then parts that meet in a column are
-multiplied with each other, but for parts of one component and parts whose sizes can't reach the threshold: no link between
-two components is skipped, and only components are returned.
+multiplied with each other, but for parts of one component and parts whose sizes can't reach the threshold; a column that
+fits a part is multiplied as it is. No link between two components is skipped, and only components are returned.
 
 Texts without words have no shingles and link with nothing. Null and empty texts are such texts. Repeated rows, also with
 the same doc_id, are copies; rows without doc_id take part, and a component of such rows only has a null id."""
@@ -144,24 +144,35 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
     return rows.select("shingle", "d", "n", "last").distinct()
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(d, s): the sets of the wanted classes (d, doc_id), a row for each."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    filled = wanted.select(bit.alias("at")).groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v"))
-    got = filled.toPandas()  # at most FILTER / 32 rows
+def _bits(values: DataFrame) -> np.ndarray:
+    """The bit filter of values (at), each below FILTER; at most FILTER / 32 rows reach the driver."""
+    got = values.groupBy(F.expr("at div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 32 AS INT))) AS v")).toPandas()
     bits = np.zeros(FILTER // 32, dtype=np.uint32)
     bits[got["w"].to_numpy(dtype=np.int64)] = got["v"].to_numpy(dtype=np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(d, s): the sets of the wanted classes (d, doc_id). They stay where they are made: a class may come again, from a copy
+    whose id passes the filter too, and a few others come with them."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    shared = docs.sparkSession.sparkContext.broadcast((_bits(wanted.select(bit.alias("at"))), _bits(wanted.select(F.pmod("d", F.lit(FILTER)).alias("at")))))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ids, classes), seen = shared.value, set()
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
-            found = [s for _, s in _sets(batch) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["d", "s"])
+            batch = batch.filter(pa.array((ids[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
+            if len(seen) > MEMO:
+                seen.clear()
+            found = {}
+            for _, s in _sets(batch):
+                if len(s) and (x := digest(s)) not in seen and classes[(k := x % FILTER) // 32] >> np.uint32(k % 32) & 1:
+                    found[x] = s.tobytes()
+                    seen.add(x)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["d", "s"])
 
-    found = docs.select("doc_id", "text", bit.alias("at")).mapInArrow(lean(chosen), "d long, s binary")
-    return found.groupBy("d").agg(F.first("s").alias("s")).join(wanted.select("d"), "d", "left_semi")
+    return docs.select("doc_id", "text", bit.alias("at")).mapInArrow(lean(chosen), "d long, s binary")
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -216,9 +227,10 @@ def _links(ids: list[int], sets: list[np.ndarray], first: int, own: bool) -> lis
 
 
 def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
-    """blocks (i, j, side, own, d): the rows of each block that have a candidate in it, as (i, j, side, own, d) with a block
-    for each group of rows that candidates connect. The product of the columns of their prefixes counts what two sets
-    share; with what can stand after the prefix that ends first this bounds their overlap."""
+    """blocks (i, j, side, own, d, c, before): the rows of each block that have a candidate of another component c in it, as
+    (i, j, side, own, d) with a block for each group of rows that candidates connect. The product of the columns of their
+    prefixes counts what two sets share; with what can stand after the prefix that ends first this bounds their overlap.
+    before: columns whose blocks hold the row too; two rows that share one of them are tried there."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -229,13 +241,15 @@ def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
             other = 0 if own else first
             if not first or len(rows) == other or len(rows) < 2:
                 return
-            n, last = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4))
+            n, last, c = (np.array([r[k] for r in rows], dtype=np.int64) for k in (3, 4, 6))
             both = overlaps([r[5] for r in rows[:first]], [r[5] for r in rows[other:]])
             x, y = n[:first, None], n[None, other:]
             u, v = last[:first, None], last[None, other:]
             most = both + (PERCENT * np.where(u < v, x, np.where(u > v, y, np.maximum(x, y))) + 99) // 100 - 1
             near = (both > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)) & ((100 + PERCENT) * most >= PERCENT * (x + y))
-            near &= np.array([r[2] for r in rows[:first]])[:, None] != np.array([r[2] for r in rows[other:]])[None, :]
+            near &= c[:first, None] != c[None, other:]
+            if near.any() and any(len(r[7]) for r in rows):
+                near &= overlaps([r[7] for r in rows[:first]], [r[7] for r in rows[other:]]) == 0
             label = _meeting(n, near, first, own)
             many = np.bincount(label, minlength=len(rows))
             out.extend((*key, int(g), *r[:3]) for g, r in zip(label, rows, strict=True) if many[g] > 1)
@@ -245,19 +259,19 @@ def _candidates(blocks: DataFrame, homes: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["i", "j", "g", "side", "own", "d"])
 
         for batch in batches:
-            flat = batch.column(7)
-            for k, (i, j, side, same, d, n, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
+            flat, before = batch.column(8), batch.column(9)
+            for k, (i, j, side, same, d, n, end, c) in enumerate(zip(*(batch.column(x).to_pylist() for x in range(8)), strict=True)):
                 if (i, j) != key:
                     give()
                     key, rows = (i, j), []
-                rows.append((side, same, d, n, end, flat[k].values.to_numpy()))
+                rows.append((side, same, d, n, end, flat[k].values.to_numpy(), c, before[k].values.to_numpy()))
             if len(out) > 10_000:
                 yield batch_of()
                 out.clear()
         give()
         yield batch_of()
 
-    rows = blocks.join(homes.select("d", "n", "last", "columns"), "d").select("i", "j", "side", "own", "d", "n", "last", "columns")
+    rows = blocks.join(homes.select("d", "n", "last", "columns"), "d").select("i", "j", "side", "own", "d", "n", "last", "c", "columns", "before")
     found = rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(lean(product), "i long, j long, g long, side int, own boolean, d long")
     return found.select(F.xxhash64("i", "j").alias("i"), F.col("g").alias("j"), "side", "own", "d")
 
@@ -267,7 +281,7 @@ def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     side 1, and with each other where own is set."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held, first, own, out = None, [], [], 0, False, []
+        key, ids, sides, held, first, own, out = None, [], [], [], 0, False, []
 
         def give() -> list[tuple[int, int]]:
             return _links(ids, held, first, own) if first and len(ids) > (0 if own else first) else []
@@ -276,8 +290,11 @@ def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
             for i, j, side, same, d, s in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
                 if (i, j) != key:
                     out += give()
-                    key, ids, held, first, own = (i, j), [], [], 0, same
+                    key, ids, sides, held, first, own = (i, j), [], [], [], 0, same
+                if ids and ids[-1] == d and sides[-1] == side:
+                    continue  # the set of this class came twice
                 ids.append(d)
+                sides.append(side)
                 held.append(np.frombuffer(s.as_py(), np.uint64))
                 first += side == 0
             if len(out) > 10_000:
@@ -287,7 +304,7 @@ def _multiplied(blocks: DataFrame, sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = blocks.join(sets, "d").select("i", "j", "side", "own", "d", "s")
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side").mapInArrow(lean(product), "a long, b long")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side", "d").mapInArrow(lean(product), "a long, b long")
 
 
 def _placed(rows: DataFrame, roots: DataFrame | None, d: str = "d", c: str = "c") -> DataFrame:
@@ -315,7 +332,7 @@ def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame]
         near = written(_candidates(blocks, homes))
         return written(_multiplied(near, fetch(near.select("d").distinct())))
 
-    roots = None
+    roots, none = None, F.array().cast("array<long>")
     several = not homes.filter("parts > 1").isEmpty()
     for turn in range(TURNS if several else 1):
         own = homes
@@ -327,16 +344,26 @@ def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame]
         lead = entries.join(at, "shingle").filter(F.pmod(F.xxhash64("d", "shingle", F.lit(turn)), F.col("k")) < F.least(F.lit(LEADERS), F.expr("2 + members div 8")))
         lead = lead.select(F.col("shingle").alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "d")
         blocks = own.select("home", "part", F.lit(0).alias("side"), "d").unionByName(lead).withColumn("own", F.lit(True))
-        found = tried(blocks.select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d"))
+        blocks = _placed(blocks, roots).select(F.col("home").alias("i"), F.col("part").cast("long").alias("j"), "side", "own", "d", "c", none.alias("before"))
+        found = tried(written(blocks) if turn else blocks)  # few rows are left after the first turn, so homes needn't be shuffled
         if turn and found.isEmpty():
             break
         roots = _contracted(roots, found)
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int")
     placed = written(_placed(homes.drop("columns"), roots).withColumn("band", band))
-    mixed = entries.join(placed.select("d", "c"), "d").groupBy("shingle").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("shingle")
-    mixed = written(mixed)
+    met = entries.join(placed.select("d", "c", "n"), "d")
+    mixed = met.groupBy("shingle").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("elements"), F.bit_xor(F.xxhash64("d")).alias("who")).filter("_lo <> _hi")
+    mixed = mixed.groupBy("k", "elements", "who").agg(F.min("shingle").alias("shingle"))  # one of the columns with the same members
+    mixed = written(mixed.select("shingle", F.expr(f"k <= {BLOCK} AND elements <= {ELEMENTS}").alias("narrow")))
     if mixed.isEmpty():
         return roots
+    # the members of a column that fits a part are multiplied as they are: as many rows as it has entries
+    before = F.collect_list("shingle").over(Window.partitionBy("d").orderBy("shingle").rowsBetween(Window.unboundedPreceding, -1))
+    narrow = met.join(mixed.filter("narrow").select("shingle"), "shingle", "left_semi").withColumn("before", before)
+    blocks = narrow.select(F.col("shingle").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).alias("side"), F.lit(True).alias("own"), "d", "c", "before")
+    wide = mixed.filter("NOT narrow").select("shingle")
+    if wide.isEmpty():
+        return _contracted(roots, tried(blocks))
     # parts of one component where it is large, and pools of small components
     group = placed.groupBy("home", "band", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("elements"))
     group = group.withColumn("single", F.when(F.col("size") >= BLOCK // 4, F.col("c")))
@@ -344,14 +371,15 @@ def _hot_links(entries: DataFrame, homes: DataFrame, fetch: Callable[[DataFrame]
     group = group.select("home", "band", "c", "single").join(sizes.withColumnRenamed("single", "_s"), ["home", "band"]).filter("single <=> _s").drop("_s")
     p = F.xxhash64("home", "band", "single", F.when(F.col("single").isNull(), F.pmod(F.xxhash64("c"), F.col("cut"))).otherwise(F.pmod(F.xxhash64("d"), F.col("cut"))))
     placed = written(placed.join(group, ["home", "band", "c"]).withColumn("p", p))
-    meet = entries.join(mixed, "shingle", "left_semi").join(placed.select("d", "p", "single", "band", "home", "parts"), "d")
+    meet = entries.join(wide, "shingle", "left_semi").join(placed.select("d", "p", "single", "band", "home", "parts"), "d")
     meet = written(meet.select("shingle", "p", "single", "band", "home", "parts").distinct())
     other = meet.select("shingle", F.col("p").alias("q"), F.col("single").alias("single_q"), F.col("band").alias("band_q"), F.col("home").alias("home_q"))
     pairs = meet.join(other, "shingle").filter("p <= q AND abs(band - band_q) <= 1 AND NOT coalesce(single = single_q, false) AND NOT (home = home_q AND parts = 1)")
     pairs = written(pairs.select("p", "q").distinct())
-    member = placed.select("d", F.col("p").alias("m"))
-    blocks = pairs.join(member, F.col("p") == F.col("m")).select("p", "q", F.lit(0).alias("side"), "d").unionByName(pairs.filter("p <> q").join(member, F.col("q") == F.col("m")).select("p", "q", F.lit(1).alias("side"), "d"))
-    return _contracted(roots, tried(blocks.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d")))
+    member = placed.select("d", "c", F.col("p").alias("m"))
+    parts = pairs.join(member, F.col("p") == F.col("m")).select("p", "q", F.lit(0).alias("side"), "d", "c").unionByName(pairs.filter("p <> q").join(member, F.col("q") == F.col("m")).select("p", "q", F.lit(1).alias("side"), "d", "c"))
+    parts = parts.select(F.col("p").alias("i"), F.col("q").alias("j"), "side", (F.col("p") == F.col("q")).alias("own"), "d", "c", none.alias("before"))
+    return _contracted(roots, tried(blocks.unionByName(parts)))
 
 
 def _classes_joined(docs: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame | None:
