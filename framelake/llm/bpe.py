@@ -29,6 +29,7 @@ from framelake.llm.common import release
 CUT_BITS = 10  # chunks of 1,024 characters on average
 LEAST = 64  # characters of the inner part of a chunk
 MAX_WORDS, MAX_CHUNKS = 125_000, 5_000
+GROUP = 1_000_000  # characters of the texts encoded at once, about
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: letters, then other signs without an apostrophe: one pre-token for either, whatever stands around the word
@@ -224,7 +225,7 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple], words: int) -> Callable[[Column], Column]:
+def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple], words: int, most: int = GROUP) -> Callable[[Column], Column]:
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path())
@@ -235,7 +236,7 @@ def _udf(path: Callable[[], str], schema: str, row: Callable[[Piece], tuple], wo
             for t in texts:  # groups of bounded size
                 group.append(t)
                 size += len(t or "")
-                if size > 1_000_000:
+                if size > most:
                     out += map(row, encode_texts(group, encoder))
                     group, size = [], 0
             out += map(row, encode_texts(group, encoder))
@@ -252,10 +253,10 @@ def encode(text: Column, path: Callable[[], str], words: int = MAX_WORDS) -> Col
     return _udf(path, "ids array<int>, decoded string", lambda x: ([int(i) for i in x[1].split()], x[2][1:].decode()), words)(text)
 
 
-def digests(text: Column, path: Callable[[], str], words: int = MAX_WORDS) -> Column:
-    """struct<n_tokens long, ids_sha256 string, decoded_sha256 string> of a text column."""
+def digests(text: Column, path: Callable[[], str], words: int = MAX_WORDS, group: int = GROUP) -> Column:
+    """struct<n_tokens long, ids_sha256 string, decoded_sha256 string> of a text column. group: characters encoded at once."""
     sha = lambda b: hashlib.sha256(b[1:]).hexdigest()
-    return _udf(path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda x: (x[0], sha(x[1]), sha(x[2])), words)(text)
+    return _udf(path, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda x: (x[0], sha(x[1]), sha(x[2])), words, group)(text)
 
 
 def vocabulary() -> str:

@@ -68,6 +68,16 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(s ^ (s >> np.uint64(29)))
 
 
+def _forgetful(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A lean function that also gives up the hashes of words; workers live on and run other operators."""
+
+    def forgetting(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _memo.clear()
+
+    return lean(forgetting)
+
+
 def digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
@@ -136,7 +146,7 @@ def _columns(docs: DataFrame, survey: DataFrame) -> DataFrame:
                     ["shingle", "d", "n", "last", "common"],
                 )
 
-    rows = docs.mapInArrow(lean(entries), "shingle long, d long, n int, last int, common boolean")
+    rows = docs.mapInArrow(_forgetful(entries), "shingle long, d long, n int, last int, common boolean")
     # columns of a single class go; rows of common cells stay and are spread, so that no group here has over COMMON rows
     w = Window.partitionBy("shingle", "salt")
     rows = rows.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("d"), F.lit(1009))).otherwise(0))
@@ -172,7 +182,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     seen.add(x)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["d", "s"])
 
-    return docs.select("doc_id", "text", bit.alias("at")).mapInArrow(lean(chosen), "d long, s binary")
+    return docs.select("doc_id", "text", bit.alias("at")).mapInArrow(_forgetful(chosen), "d long, s binary")
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -432,7 +442,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(docs.sparkSession):
-        survey = written(docs.mapInArrow(lean(_survey), "kind int, a long, n long, d long"))
+        survey = written(docs.mapInArrow(_forgetful(_survey), "kind int, a long, n long, d long"))
         rows = survey.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "d")
         classes = written(rows.filter("d is not null").groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
         joined = written(_placed(classes, _classes_joined(docs, survey, classes), "d", "root"))

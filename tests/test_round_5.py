@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from framelake.llm import jaccard
 from framelake.llm.common import scratch
 
@@ -33,3 +34,14 @@ def test_classes_go_to_no_more_blocks_than_they_have_hot_columns(spark, monkeypa
     for i, j, _, d in last:
         together.setdefault((i, j), set()).add(d)
     assert all(any({a, b} <= g for g in together.values()) for a in held for b in held if a < b and set(held[a]) & set(held[b]))
+
+
+def test_workers_keep_no_word_hashes_after_a_task(spark):
+    def kept(batches):
+        batches = list(batches)
+        for _ in jaccard._forgetful(jaccard._survey)(iter(batches)):
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(jaccard._memo)], pa.int64())], ["n"])
+
+    docs = spark.createDataFrame([(k, f"one two three four five six {k}") for k in range(9)], "doc_id long, text string").coalesce(1)
+    assert [r.n for r in docs.mapInArrow(kept, "n long").collect()] == [0]
